@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
-FAMILIES = ["reshape", "windows"]
+FAMILIES = ["reshape", "cleaning", "windows"]
 
 
 def query(name: str, sql: str | None = None):
