@@ -12,7 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
-FAMILIES = ["reshape", "cleaning", "windows"]
+FAMILIES = ["reshape", "cleaning", "windows", "joins", "aggregates"]
 
 
 def query(name: str, sql: str | None = None):
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = expand_rounding(with_ctes(sql))
+            ORACLES[name] = sql
         return fn
 
     return keep
@@ -48,14 +48,18 @@ def _mentions(body: str) -> list[str]:
 
 
 def with_ctes(sql: str) -> str:
-    needed: set[str] = set()
-    frontier = _mentions(sql)
-    while frontier:
-        name = frontier.pop()
-        if name not in needed:
-            needed.add(name)
-            frontier.extend(n for n in _mentions(CTES[name]) if n != name)
-    ordered = [n for n in CTES if n in needed]
+    ordered: list[str] = []
+
+    def visit(name: str) -> None:
+        if name in ordered:
+            return
+        for dep in _mentions(CTES[name]):
+            if dep != name:
+                visit(dep)
+        ordered.append(name)
+
+    for name in _mentions(sql):
+        visit(name)
     if not ordered:
         return sql.strip()
     head = ",\n".join(f"{n} AS ({CTES[n].strip()})" for n in ordered)
@@ -65,6 +69,10 @@ def with_ctes(sql: str) -> str:
     return f"WITH {head}\n{body}"
 
 
+def oracle(name: str) -> str:
+    return expand_rounding(with_ctes(ORACLES[name]))
+
+
 def load_all() -> None:
     for family in FAMILIES:
         importlib.import_module(f"catalog.{family}")

@@ -102,17 +102,26 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilit
             for i, p in enumerate(probabilities.values())
         ]).alias("__targets"))
     joined = _null_safe_join(rows, sketch, keys)
-    # one row per (key, target, distinct value in the bracket); everything left of it is one counted row
+    # one row per (key, target, distinct value in the bracket); everything left and right of the bracket
+    # is one counted row each, which keeps the neighbouring value
+    v, t = F.col("__v"), F.col("t")
+    zone = F.when(v < t["lo"], 0).when(v <= t["hi"], 1).otherwise(2)
     tied = (
         joined.select(*keys, "n", "__v", F.explode("__targets").alias("t"))
-        .where(F.col("__v") <= F.col("t.hi"))
-        .select(*keys, "n", "t", F.when(F.col("__v") >= F.col("t.lo"), F.col("__v")).alias("__v"))
-        .groupBy(*keys, "n", "t", "__v").agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__zone", zone)
+        .groupBy(*keys, "n", "t", "__zone", F.when(F.col("__zone") == 1, v).alias("__inside"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))
     )
-    w = Window.partitionBy(*keys, "n", "t").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(
+    w = Window.partitionBy(*keys, "n", "t").orderBy("__zone", "__inside").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = tied.withColumn("__cum", F.sum("__c").over(w))
-    at = lambda k: F.max(F.when((F.col("__cum") > k) & (F.col("__cum") - F.col("__c") <= k), F.col("__v")))
+    ranked = tied.withColumn("__end", F.sum("__c").over(w)).withColumn("__first", F.col("__end") - F.col("__c"))
+
+    def at(index: Column) -> Column:
+        here = (index >= F.col("__first")) & (index < F.col("__end"))
+        known = F.when((F.col("__zone") == 1) | (index == F.col("__first")), F.col("__low")).when(
+            index == F.col("__end") - 1, F.col("__high"))
+        return F.max(F.when(here, known))
+
     picked = ranked.groupBy(*keys, "n", "t").agg(
         at(F.col("t.below")).alias("__a"),
         at(F.least(F.col("t.below") + 1, F.col("n") - 1)).alias("__b"))
