@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pricegrid.session import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
-FAMILIES = ["reshape", "cleaning", "windows", "joins", "aggregates"]
+FAMILIES = ["reshape", "cleaning", "windows", "joins", "aggregates", "sets", "inference", "quality", "pixels"]
 
 
 def query(name: str, sql: str | None = None):
@@ -21,7 +24,13 @@ def query(name: str, sql: str | None = None):
     def keep(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -24,10 +24,10 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str, measures: Mapping[str, Column],
-                       descending: bool = False, buckets: int = 200) -> DataFrame:
+                       descending: bool = False, buckets: int = 200, keep_bucket: bool = False) -> DataFrame:
     """One row per (keys, value): each measure's sum and its running sum ``cum_<name>`` up to the value.
 
-    Rows with a null value are left out.
+    Rows with a null value are left out. ``keep_bucket`` leaves the bucket number for further passes.
     """
     keys = list(keys)
     names = list(measures)
@@ -59,7 +59,7 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str, measures:
     )
     return (
         _null_safe_join(placed, offsets, [*keys, "__bucket"])
-        .select(*keys, value, *names,
+        .select(*keys, value, *(["__bucket"] if keep_bucket else []), *names,
                 *[(F.sum(n).over(inside) + F.col(f"__off_{n}")).alias(f"cum_{n}") for n in names])
     )
 

@@ -7,9 +7,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricegrid import values
 
+# a type object, not a string: workers import this module without a Spark context
+DOUBLE = T.DoubleType()
+
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
 
@@ -89,19 +93,19 @@ def mackinnon_p(tau: float) -> float:
     return float(normal_cdf(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     p = student_t_two_sided(t.to_numpy(float), df.to_numpy(float))
     return pd.Series(p).where(t.notna() & df.notna())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def f_upper_p(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     p = f_upper_tail(f.to_numpy(float), df1.to_numpy(float), df2.to_numpy(float))
     return pd.Series(p).where(f.notna())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def chi2_even_p(x: pd.Series, half_df: pd.Series) -> pd.Series:
     p = chi2_even_upper_tail(x.to_numpy(float), half_df.to_numpy(float))
     return pd.Series(p).where(x.notna() & half_df.notna())

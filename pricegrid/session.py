@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="run-")
     spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_pricegrid_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="pkg-")) / "pricegrid.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._pricegrid_shipped = True
