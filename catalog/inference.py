@@ -13,6 +13,7 @@ from pricegrid.operators import evaluation as E
 from pricegrid.operators import inference as I
 from pricegrid.operators import joins as J
 from pricegrid.operators import panel as P
+from pricegrid.session import materialise
 
 DM_SQL = """
 WITH a AS ({aligned}),
@@ -136,13 +137,14 @@ def adf_make_stationary(spark, sf):
 
 @query("granger_pair")
 def granger_pair(spark, sf):
-    weekly = A.crop_week_series(fx.panel(spark, sf)).join(layer(spark, sf), ["crop", "week_start"], "left").withColumn("log_price", F.log("price"))
-    series = lambda c: I.adf_make_stationary(I.series_arrays(weekly, ["crop"], c)).where(F.col("series").isNotNull())
-    price = series("log_price").select("crop", F.col("weeks").alias("y_weeks"), F.col("series").alias("y_series"))
-    drivers = None
-    for name in ("heat", "rain", "ndvi", "arrivals"):
-        one = series(name).select("crop", F.lit(name).alias("driver"), F.col("weeks").alias("x_weeks"), F.col("series").alias("x_series"))
-        drivers = one if drivers is None else drivers.unionByName(one)
+    weekly = A.crop_week_series(fx.panel(spark, sf)).join(layer(spark, sf), ["crop", "week_start"], "left").withColumns(
+        {"log_price": F.log("price"), "arrivals": F.log("arrivals")})
+    long = weekly.unpivot(["crop", "week_start"], ["log_price", "heat", "rain", "ndvi", "arrivals"], "driver", "value")
+    series = I.adf_make_stationary(I.series_arrays(long, ["crop", "driver"], "value")).where(F.col("series").isNotNull())
+    series = materialise(series.select("crop", "driver", "weeks", "series"))
+    is_price = F.col("driver") == "log_price"
+    price = series.where(is_price).select("crop", F.col("weeks").alias("y_weeks"), F.col("series").alias("y_series"))
+    drivers = series.where(~is_price).withColumnsRenamed({"weeks": "x_weeks", "series": "x_series"})
     pairs = drivers.join(price, "crop")
     back = pairs.select("crop", "driver", F.col("y_weeks").alias("x_weeks"), F.col("y_series").alias("x_series"),
                         F.col("x_weeks").alias("y_weeks"), F.col("x_series").alias("y_series"))

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,6 +44,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: several readers share one computation, and lost executors cost no rerun of it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per application, wherever the driver was started."""
     context = spark.sparkContext
