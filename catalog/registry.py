@@ -15,7 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 CTES: dict[str, str] = {}
 
-FAMILIES = ["reshape", "cleaning", "windows", "joins", "aggregates", "sets", "inference", "causal", "quality", "pixels"]
+FAMILIES = [
+    "reshape", "cleaning", "windows", "joins", "aggregates", "sets",
+    "inference", "causal", "forecasting", "quality", "pixels",
+]
 
 
 def query(name: str, sql: str | None = None):

@@ -20,24 +20,28 @@ def _day(text: str) -> Column:
     return F.lit(text).cast("date")
 
 
-def rolling_origin_splits(df: DataFrame, folds: Sequence[Fold] = values.FOLDS, embargo: Column | int = 0,
-                          train_floor: str | None = None) -> DataFrame:
-    """One row per (row, fold) the row belongs to, with ``fold`` and ``split``.
+def split_of(fold: Fold, embargo: Column | int = 0, train_floor: str | None = None) -> Column:
+    """The row's split in one fold, null outside. Train runs to its end date, validation starts strictly
+    after ``val_start``, test is inclusive.
 
-    Train runs to its end date, validation starts strictly after ``val_start``, test is inclusive.
     ``embargo`` in weeks keeps targets of train and validation from reaching into the next split; the
-    published evaluation has none. Folds are a fixed list, so they travel as literals and nothing joins.
+    published evaluation has none.
     """
+    _, train_end, val_start, val_end, test_start, test_end = fold
     week = F.col("week_start")
     reach = F.date_add(week, (embargo if isinstance(embargo, Column) else F.lit(embargo)) * 7)
     floor = week >= _day(train_floor) if train_floor else F.lit(True)
-    entries = []
-    for fold, train_end, val_start, val_end, test_start, test_end in folds:
-        split = (
-            F.when((reach <= _day(train_end)) & floor, "train")
-            .when((week > _day(val_start)) & (reach <= _day(val_end)), "validation")
-            .when(week.between(_day(test_start), _day(test_end)), "test"))
-        entries.append(F.struct(F.lit(fold).alias("fold"), split.alias("split")))
+    return (
+        F.when((reach <= _day(train_end)) & floor, "train")
+        .when((week > _day(val_start)) & (reach <= _day(val_end)), "validation")
+        .when(week.between(_day(test_start), _day(test_end)), "test"))
+
+
+def rolling_origin_splits(df: DataFrame, folds: Sequence[Fold] = values.FOLDS, embargo: Column | int = 0,
+                          train_floor: str | None = None) -> DataFrame:
+    """One row per (row, fold) the row belongs to, with ``fold`` and ``split``. Folds are a fixed list, so
+    they travel as literals and nothing joins."""
+    entries = [F.struct(F.lit(f[0]).alias("fold"), split_of(f, embargo, train_floor).alias("split")) for f in folds]
     return df.select("*", F.inline(F.array(*entries))).where(F.col("split").isNotNull())
 
 
