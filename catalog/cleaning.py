@@ -94,7 +94,7 @@ FROM (SELECT c_custkey, c_mktsegment AS crop, CASE WHEN c_acctbal < 0 THEN NULL
 def categorical_codes(spark, sf):
     c = fx.table(spark, sf, "customer").join(fx.table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     rows = c.select("c_custkey", F.col("c_mktsegment").alias("crop"), F.when(F.col("c_acctbal") >= 0, F.col("n_name")).alias("state"))
-    return C.categorical_codes(rows, "crop", "state", "code").select("c_custkey", "crop", "code")
+    return C.categorical_codes(rows, "crop", {"state": "code"}).select("c_custkey", "crop", "code")
 
 
 @query("coverage_band", """

@@ -1,8 +1,9 @@
 """Exact order statistics that stay distributed when one key holds most of the rows.
 
-A window over a whole crop would sort that crop in one task. Here ties are summed map-side
-first, the distinct values are cut into buckets at approximate quantiles, and only a bucket is
-sorted in one task. The cut points decide the balance, never the result.
+A window over a whole crop would sort that crop in one task. Here ties are summed map-side first, the
+distinct values are cut into buckets at approximate quantiles, and only a bucket is sorted in one task. The
+cut points decide the balance, never the result. They come from a first scan whose result (one row per key)
+is materialised and measured, so the rows are not shuffled by a hot key to receive it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricegrid.functions.sizes import small_side
+
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"__k_{k}") for k in keys],
@@ -37,8 +40,8 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str, measures:
         .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()])
     )
     cuts = [i / buckets for i in range(1, buckets)]
-    splits = tied.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), cuts, buckets * 20).alias("__cuts"))
+    splits = small_side(df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.percentile_approx(F.col(value).cast("double"), cuts, buckets * 20).alias("__cuts")), 10_000)
     placed = (
         _null_safe_join(tied, splits, keys)
         .withColumn("__bucket", F.size(F.filter("__cuts", lambda cut: cut < F.col(value).cast("double"))))
@@ -101,7 +104,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilit
                 ((F.col("n") - 1) * F.lit(p) - F.floor((F.col("n") - 1) * F.lit(p))).alias("part"))
             for i, p in enumerate(probabilities.values())
         ]).alias("__targets"))
-    joined = _null_safe_join(rows, sketch, keys)
+    joined = _null_safe_join(rows, small_side(sketch, 100_000), keys)
     # one row per (key, target, distinct value in the bracket); everything left and right of the bracket
     # is one counted row each, which keeps the neighbouring value
     v, t = F.col("__v"), F.col("t")

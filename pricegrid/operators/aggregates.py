@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from pricegrid import values
 from pricegrid.functions import calendar as cal
 from pricegrid.functions import ordered, scalars
+from pricegrid.functions.sizes import small_side
 
 PRICE = "modal_price_weighted"
 ARRIVALS = "arrivals_tonnes_week"
@@ -20,19 +21,18 @@ ARRIVALS = "arrivals_tonnes_week"
 def coverage_by_year(panel: DataFrame) -> DataFrame:
     """Observed weeks, markets, states and rows plus imputed rows per crop and ISO year.
 
-    Distinct counts run over small pre-aggregated keys, so no row is expanded once per distinct column.
+    One pass: a market's weeks are bits of a mask, so distinct weeks are the bits of all masks together
+    and the only distinct count left runs over one row per market and year.
     """
     real = F.col("imputed") == 0
+    week_bit = F.when(real, F.expr("shiftleft(1L, weekofyear(week_start))")).otherwise(F.lit(0).cast("long"))
     per_market = panel.groupBy("crop", "iso_year", "market_id", "state").agg(
-        F.count_if(real).alias("__obs"), F.count_if(~real).alias("__imp"))
-    markets = per_market.groupBy("crop", "iso_year").agg(
-        F.count_if(F.col("__obs") > 0).alias("markets"), F.sum("__obs").alias("obs_rows"), F.sum("__imp").alias("imputed_rows"))
-    states = per_market.where(F.col("__obs") > 0).select("crop", "iso_year", "state").distinct().groupBy(
-        "crop", "iso_year").agg(F.count("state").alias("states"))
-    weeks = panel.where(real).select("crop", "iso_year", "week_start").distinct().groupBy("crop", "iso_year").agg(
-        F.count(F.lit(1)).alias("weeks"))
-    return weeks.join(markets, ["crop", "iso_year"]).join(states, ["crop", "iso_year"]).select(
-        "crop", "iso_year", "weeks", "markets", "states", "obs_rows", "imputed_rows")
+        F.count_if(real).alias("__obs"), F.count_if(~real).alias("__imp"), F.bit_or(week_bit).alias("__weeks"))
+    seen = F.col("__obs") > 0
+    return per_market.groupBy("crop", "iso_year").agg(
+        F.bit_count(F.bit_or("__weeks")).cast("long").alias("weeks"), F.count_if(seen).alias("markets"),
+        F.count_distinct(F.when(seen, F.col("state"))).alias("states"), F.sum("__obs").alias("obs_rows"),
+        F.sum("__imp").alias("imputed_rows"))
 
 
 def panel_summary_total(panel: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def disaggregation_backtest(daily: DataFrame, price: str = "modal_price_rs_per_q
     keys = [*market, "week_start"]
     rows = daily.withColumns({"week_start": cal.week_start(date), "dow": cal.day_of_week(date)}).select(*keys, "dow", price)
     means = rows.groupBy(*keys).agg(F.avg(price).alias("__m"))
-    factors = dow_factor(daily, price, date, market).select(market[0], "dow", "factor_mean")
+    factors = small_side(dow_factor(daily, price, date, market).select(market[0], "dow", "factor_mean"))
     joined = rows.join(means, keys).join(factors, [market[0], "dow"])
     preds = joined.select(market[0], price, F.inline(F.array(
         F.struct(F.lit("flat").alias("method"), F.col("__m").alias("pred")),
@@ -207,7 +207,8 @@ def histogram_counts(df: DataFrame, column: str, edges: Sequence[float] = values
 
 def entity_counts(panel: DataFrame, selected: DataFrame, keys: Sequence[str] = ("crop", "market_id")) -> DataFrame:
     """Market rows per crop and week, all against selected."""
-    flagged = panel.join(selected.select(*keys).distinct().withColumn("__sel", F.lit(1)), list(keys), "left")
+    chosen = small_side(selected.select(*keys).distinct().withColumn("__sel", F.lit(1)))
+    flagged = panel.join(chosen, list(keys), "left")
     return flagged.groupBy("crop", "week_start").agg(F.count(F.lit(1)).alias("n_all"), F.count("__sel").alias("n_selected"))
 
 

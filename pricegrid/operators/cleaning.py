@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pricegrid import values
 from pricegrid.functions import calendar as cal
-from pricegrid.functions import scalars
+from pricegrid.functions import ordered, scalars
+from pricegrid.functions.sizes import small_side
 
 
 def relabel_map(df: DataFrame, column: str, spellings: Mapping[str, str] = values.STATE_SPELLINGS) -> DataFrame:
@@ -47,18 +49,19 @@ def disambiguate_labels(df: DataFrame, group: Sequence[str], name: str, ident: s
     )
 
 
-def categorical_codes(df: DataFrame, group: str, column: str, out: str) -> DataFrame:
-    """Place of the value among the group's sorted distinct values, missing -> -1.
+def categorical_codes(df: DataFrame, group: str, columns: Mapping[str, str], domain: DataFrame | None = None) -> DataFrame:
+    """Place of each value among the group's sorted distinct values, missing -> -1. ``columns``: column -> code.
 
-    Only the distinct values are ranked, so a crop with most of the rows is not sorted as a whole.
+    Only the distinct combinations are ranked, so a crop with most of the rows is not sorted as a whole.
+    ``domain`` is a smaller frame with the same combinations, to save a pass over ``df``.
     """
-    from pyspark.sql.window import Window
-
-    codes = (
-        df.where(F.col(column).isNotNull()).select(group, column).distinct()
-        .withColumn(out, F.row_number().over(Window.partitionBy(group).orderBy(column)) - 1)
-    )
-    return df.join(codes, [group, column], "left").withColumn(out, F.coalesce(out, F.lit(-1)))
+    names = list(columns)
+    combos = (df if domain is None else domain).select(group, *names).distinct()
+    codes = combos.withColumns({
+        out: F.when(F.col(c).isNull(), F.lit(-1)).otherwise(
+            F.dense_rank().over(Window.partitionBy(group).orderBy(F.col(c).asc_nulls_last())) - 1)
+        for c, out in columns.items()})
+    return ordered._null_safe_join(df, small_side(codes), [group, *names])
 
 
 def season_flags(df: DataFrame, crop: str = "crop", month: Column | None = None,

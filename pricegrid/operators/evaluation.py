@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pricegrid import values
 from pricegrid.functions import ordered
+from pricegrid.functions.sizes import small_side
 from pricegrid.operators import windows as W
 
 Fold = tuple[int, str, str, str, str, str]
@@ -147,8 +148,8 @@ def weekly_mean_predictions(preds: DataFrame) -> DataFrame:
 def spike_label(panel: DataFrame, train_end: str, price: str = "modal_price_weighted", group: str = "crop",
                 q: float = 0.9) -> DataFrame:
     """1 when next week's price exceeds the training rows' 90th percentile of the crop."""
-    threshold = ordered.exact_percentiles(
-        panel.where(F.col("week_start") <= _day(train_end)), [group], price, {"threshold": q}).drop("n")
+    threshold = small_side(ordered.exact_percentiles(
+        panel.where(F.col("week_start") <= _day(train_end)), [group], price, {"threshold": q}).drop("n"))
     ahead = panel.withColumn("next_price", F.lead(price, 1).over(W.by()))
     return ahead.where(F.col("next_price").isNotNull()).join(threshold, group).withColumn(
         "spike", (F.col("next_price") > F.col("threshold")).cast("int"))
@@ -225,7 +226,7 @@ def standardise_by_train(df: DataFrame, features: Sequence[str], is_train: Colum
         x = F.when(is_train, F.col(f))
         aggs += [F.avg(x).alias(f"__m_{f}"), F.stddev_pop(x).alias(f"__s_{f}")]
     if keys:
-        out = df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+        out = df.join(small_side(df.groupBy(*keys).agg(*aggs)), list(keys))
         stat = lambda name: F.col(name)
     else:
         moments = df.agg(F.struct(*aggs)).scalar()

@@ -12,11 +12,7 @@ from pyspark.sql.window import Window
 
 from pricegrid import values
 from pricegrid.functions import scalars
-
-
-def size_checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint when a bounded count shows at most ``max_rows`` rows; otherwise the frame as it is."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+from pricegrid.functions.sizes import size_checked_broadcast
 
 
 def unique_on(right: DataFrame, on: Sequence[str], name: str = "right side") -> DataFrame:

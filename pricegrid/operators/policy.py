@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pricegrid import values
 from pricegrid.functions import calendar as cal
+from pricegrid.functions.sizes import size_checked_broadcast
 
 BAN, FLOOR, DUTY = "export_banned", "mep_usd_per_tonne", "export_duty_pct"
 
@@ -123,7 +124,7 @@ def event_window_join(rows: DataFrame, windows: DataFrame, date: str, group: str
     Windows are cut into weeks and joined on (group, week); the day test follows, so no row meets a
     window it is more than a week away from.
     """
-    cells = windows.withColumn(
-        "__week", F.explode(cal.week_sequence(cal.week_start(start), cal.week_start(end))))
+    cells = size_checked_broadcast(windows.withColumn(
+        "__week", F.explode(cal.week_sequence(cal.week_start(start), cal.week_start(end)))))
     keyed = rows.withColumn("__week", cal.week_start(date))
     return keyed.join(cells, [group, "__week"]).where(F.col(date).between(F.col(start), F.col(end))).drop("__week")

@@ -48,14 +48,18 @@ def sort_output(df: DataFrame, columns: Sequence[str], total_order: bool = True)
     return df.orderBy(*columns) if total_order else df.sortWithinPartitions(*columns)
 
 
-def seeded_sample(df: DataFrame, n: int, group: str, ident: Sequence[str], seed: int = 42) -> DataFrame:
+def seeded_sample(df: DataFrame, n: int, group: str, ident: Sequence[str], seed: int = 42, salts: int = 64) -> DataFrame:
     """n rows per group in the order of a seeded hash of the row's identity: the same rows every run.
 
-    The rank filter is pushed below the shuffle, so each map task sends at most n rows per group.
+    Each salted part of a group is cut to n rows first, so no task sorts a whole hot group.
     """
-    draw = F.xxhash64(*ident, F.lit(seed))
-    w = Window.partitionBy(group).orderBy(draw, *ident)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    drawn = df.withColumn("__draw", F.xxhash64(*ident, F.lit(seed))).withColumn("__salt", F.pmod("__draw", F.lit(salts)))
+
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("__draw", *ident)
+        return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+
+    return first(first(drawn, [group, "__salt"]), [group]).drop("__draw", "__salt")
 
 
 def compare_series(df: DataFrame, ids: Sequence[int], value: str, last: int = 104, max_ids: int = 15,

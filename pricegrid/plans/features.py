@@ -32,8 +32,9 @@ def build_features(panel: DataFrame, base_year: int = values.BASE_YEAR,
     rows = C.cyclic_features(rows, "iso_week")
     rows = C.season_flags(rows, seasons=seasons)
     rows = rows.withColumn("year_trend", F.year("week_start") - base_year)
-    rows = C.categorical_codes(rows, "crop", "market_id", "market_enc")
-    return C.categorical_codes(rows, "crop", "state", "state_enc") if "state" in panel.columns else rows
+    encoded = {"market_id": "market_enc", "state": "state_enc"} if "state" in panel.columns else {"market_id": "market_enc"}
+    # the codes need the panel's keys only, not its features
+    return C.categorical_codes(rows, "crop", encoded, domain=panel)
 
 
 def layered_feature_sets(layers: Mapping[str, Sequence[str]], present: Sequence[str]) -> dict[str, list[str]]:
