@@ -31,11 +31,10 @@ def weekly_weighted_mean(spark, sf):
 
 @query("balanced_panel_filter", """
 SELECT crop, market_id, week_start, arrivals_tonnes_week FROM weekly
-WHERE (crop, market_id) IN (SELECT (crop, market_id) FROM weekly WHERE week_start >= DATE '1995-02-20' GROUP BY crop, market_id HAVING count(DISTINCT isoyear(week_start)) >= 7) AND week_start >= DATE '1995-02-20'
+WHERE (crop, market_id) IN (SELECT (crop, market_id) FROM weekly GROUP BY crop, market_id HAVING count(DISTINCT isoyear(week_start)) >= 7)
 """)
 def balanced_panel_filter(spark, sf):
-    w = fx.weekly(spark, sf).where(F.col("week_start") >= "1995-02-20")
-    return P.balanced_panel_filter(w, 7).select(*KEYS, P.ARRIVALS)
+    return P.balanced_panel_filter(fx.weekly(spark, sf), 7).select(*KEYS, P.ARRIVALS)
 
 
 @query("coverage_filter", """

@@ -109,7 +109,8 @@ def scenario_score(spark, sf):
     return H.scenario_score(reference_rows(spark, sf), OVERRIDES, lambda rows: H.batch_score(rows, models, SMALL))
 
 
-CLOSED = F.expm1(F.col("price_lag_1") * 0.7 + F.col("price_lag_4") * 0.3)
+def closed_form():
+    return F.expm1(F.col("price_lag_1") * 0.7 + F.col("price_lag_4") * 0.3)
 
 
 @query("monotone_levers", """
@@ -120,12 +121,12 @@ SELECT crop, market_id, week_start, duty > base AS clamped, rnd(least(duty, base
 def monotone_levers(spark, sf):
     rows = W.lags(fx.logs(spark, sf), "log_price", "price_lag_", [1, 4]).where((F.col("crop") == "N") & F.col("price_lag_1").isNotNull() & F.col("price_lag_4").isNotNull())
     overrides = [("N", "duty", "price_lag_4", "set", 7.0)]
-    scored = H.scenario_rows(rows.select(*KEYS, "price_lag_1", "price_lag_4"), overrides).withColumn("forecast", CLOSED)
+    scored = H.scenario_rows(rows.select(*KEYS, "price_lag_1", "price_lag_4"), overrides).withColumn("forecast", closed_form())
     clamp = H.scenario_names_of_levers(overrides, ["price_lag_4"])
     return H.scenario_effects(scored, KEYS, clamp=clamp).select(*KEYS, "clamped", fx.r("forecast"))
 
 
-@query("one_at_a_time", """
+@query("one_at_a_time_effects", """
 WITH b AS (SELECT crop, market_id, week_start, lag(log_price) OVER w AS l1, lag(log_price, 4) OVER w AS l4 FROM logs WINDOW w AS (PARTITION BY crop, market_id ORDER BY week_start)),
 f AS (SELECT *, exp(l1 * 0.7 + l4 * 0.3) - 1 AS base, exp(l1 * 1.01 * 0.7 + l4 * 0.3) - 1 AS a, exp(l1 * 0.7 + 7.0 * 0.3) - 1 AS c, exp(l1 * 1.01 * 0.7 + 7.0 * 0.3) - 1 AS j FROM b WHERE l1 IS NOT NULL AND l4 IS NOT NULL)
 SELECT crop, market_id, week_start, rnd(j - base, 4) AS joint_effect, rnd((a - base) + (c - base), 4) AS sum_of_singles, rnd((j - base) - ((a - base) + (c - base)), 4) AS interaction_gap FROM f
@@ -133,7 +134,7 @@ SELECT crop, market_id, week_start, rnd(j - base, 4) AS joint_effect, rnd((a - b
 def one_at_a_time(spark, sf):
     rows = W.lags(fx.logs(spark, sf), "log_price", "price_lag_", [1, 4]).where(F.col("price_lag_1").isNotNull() & F.col("price_lag_4").isNotNull())
     overrides = H.one_at_a_time([("price_lag_1", "scale", 1.01), ("price_lag_4", "set", 7.0)])
-    scored = H.scenario_rows(rows.select(*KEYS, "price_lag_1", "price_lag_4"), overrides).withColumn("forecast", CLOSED)
+    scored = H.scenario_rows(rows.select(*KEYS, "price_lag_1", "price_lag_4"), overrides).withColumn("forecast", closed_form())
     out = H.interaction_gap(H.scenario_effects(scored, KEYS), KEYS)
     return out.select(*KEYS, fx.r("joint_effect"), fx.r("sum_of_singles"), fx.r("interaction_gap"))
 

@@ -143,7 +143,7 @@ def fallback_join(spark, sf):
     return out.select("state", "source", "year", "month", fx.r("wage"))
 
 
-@query("complete_grid", "SELECT crop, market_id, week_start, CAST(modal_price_weighted IS NULL AS INTEGER) AS imputed, arrivals_tonnes_week FROM gaps")
+@query("grid_cross_join", "SELECT crop, market_id, week_start, CAST(modal_price_weighted IS NULL AS INTEGER) AS imputed, arrivals_tonnes_week FROM gaps")
 def complete_grid(spark, sf):
     return fx.grid(spark, sf).select(*KEYS, "imputed", P.ARRIVALS)
 

@@ -45,7 +45,10 @@ def id_count_match(spark, sf):
     return out(Q.id_count_match(w, w.where(F.col(P.ARRIVALS) > 110)))
 
 
-@query("required_columns")
+@query("required_columns", """
+WITH c AS (SELECT column_name FROM (DESCRIBE SELECT * FROM panel)), w AS (SELECT * FROM (VALUES ('market_id'), ('week_start'), ('imputed'), ('sufficient_history')) t(n))
+SELECT 'required_columns' AS "check", n AS subject, CASE WHEN column_name IS NULL THEN 'FAIL' ELSE 'PASS' END AS status, CAST(column_name IS NOT NULL AS DOUBLE) AS measured FROM w LEFT JOIN c ON n = column_name
+""")
 def required_columns(spark, sf):
     return Q.required_columns(spark, fx.panel(spark, sf), ["market_id", "week_start", "imputed", "sufficient_history"])
 

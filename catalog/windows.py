@@ -371,7 +371,7 @@ def placebo_windows(spark, sf):
     return out.select("crop", "end_week", fx.r("intensity", 6), "n_weeks")
 
 
-@query("interpolate_limited", """
+@query("arrivals_interpolate", """
 SELECT crop, market_id, week_start, rnd(CASE WHEN arrivals_tonnes_week IS NOT NULL THEN arrivals_tonnes_week
   WHEN n_w IS NOT NULL AND week_start - prev_week <= 28 THEN p_a + (n_a - p_a) * (week_start - prev_week) / (n_w - prev_week) END, 6) AS arrivals
 FROM (SELECT g.*, next_week AS n_w, last_value(arrivals_tonnes_week IGNORE NULLS) OVER past AS p_a, first_value(arrivals_tonnes_week IGNORE NULLS) OVER future AS n_a FROM gaps g

@@ -32,6 +32,9 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str, measures:
 
     Rows with a null value are left out. ``keep_bucket`` leaves the bucket number for further passes.
     """
+    if not keys:
+        whole = df.withColumn("__all", F.lit(0))
+        return ordered_cumulative(whole, ["__all"], value, measures, descending, buckets, keep_bucket).drop("__all")
     keys = list(keys)
     names = list(measures)
     tied = (
@@ -69,6 +72,8 @@ def ordered_cumulative(df: DataFrame, keys: Sequence[str], value: str, measures:
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, descending: bool = False) -> DataFrame:
     """Rank from 1 with ties sharing the mean of their places; null values keep a null rank."""
+    if not keys:
+        return average_rank(df.withColumn("__all", F.lit(0)), ["__all"], value, out, descending).drop("__all")
     keys = list(keys)
     ranks = ordered_cumulative(df, keys, value, {"__n": F.lit(1)}, descending).select(
         *keys, value, (F.col("cum___n") - (F.col("__n") - 1) / 2).cast("double").alias(out))
@@ -82,6 +87,8 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilit
     A sketch with a guaranteed rank error brackets each percentile; only the distinct values inside
     the brackets are ranked. A group smaller than the sketch's accuracy is bracketed by itself.
     """
+    if not keys:
+        return exact_percentiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probabilities, accuracy).drop("__all")
     keys = list(keys)
     names = list(probabilities)
     eps = 4.0 / accuracy

@@ -116,7 +116,8 @@ def snapshot_equal(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
 
     if columns != sorted(right.columns):
         return digest(left, "l").select(*_row("snapshot_equal", F.lit(name), F.lit("FAIL"), F.lit(None)))
-    both = digest(left, "l").join(digest(right, "r"))
+    sides = digest(left, "l").unionByName(digest(right, "r"), allowMissingColumns=True)
+    both = sides.agg(*[F.max(c).alias(c) for c in sides.columns])
     same = (F.col("n_l") == F.col("n_r")) & F.col("a_l").eqNullSafe(F.col("a_r")) & F.col("b_l").eqNullSafe(F.col("b_r"))
     return both.select(*_row("snapshot_equal", F.lit(name), _band(same, ~same), F.col("n_l") - F.col("n_r")))
 

@@ -49,3 +49,10 @@ def test_tails_against_tables():
     assert tails.f_upper_tail(2.710889837, 5, 20) == pytest.approx(0.05, abs=1e-7)
     assert tails.chi2_even_upper_tail([9.487729037], [2])[0] == pytest.approx(0.05, abs=1e-9)
     assert tails.mackinnon_p(-2.86) == pytest.approx(0.05, abs=2e-3)
+
+
+def test_no_keys_means_one_group(spark):
+    df = spark.createDataFrame([(float(v),) for v in range(11)], "v double")
+    assert ordered.exact_percentiles(df, [], "v", {"p25": 0.25}).first().p25 == 2.5
+    assert ordered.ordered_cumulative(df, [], "v", {"n": F.lit(1)}).agg(F.max("cum_n")).first()[0] == 11
+    assert ordered.average_rank(df, [], "v", "r").agg(F.max("r")).first()[0] == 11

@@ -1,6 +1,9 @@
 """Model plans, streaming refresh, and the registered queries as a whole."""
 
 import datetime as dt
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -105,6 +108,11 @@ def test_every_oracle_has_a_query_and_expands():
     assert not any("rnd(" in sql for sql in oracles.values())
 
 
+def test_registry_loads_without_a_session():
+    code = "import __spark_entry__ as e; assert len(e.queries()) >= len(e.oracle_sql()) > 0"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(entry.__file__).parent)
+
+
 def test_flagship_runs(spark):
     out = entry.entry(spark)
     assert out.columns[:2] == ["crop", "state"] and out.where(F.col("imputed_method") == "linear").limit(1).count() == 1
