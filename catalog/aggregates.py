@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.joins import FOLDS, entities, leaders, predictions, state_month
 from catalog.registry import CTES, query
-from catalog.reshape import orders
 from catalog.windows import KEYS, crop_week, layer
 from pricegrid.operators import aggregates as A
 from pricegrid.operators import evaluation as E

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.registry import CTES, query
 from catalog.reshape import orders
-from catalog.windows import EPISODES, KEYS, layer, policy_intervals, policy_log
+from catalog.windows import EPISODES, KEYS, layer
 from pricegrid import values
 from pricegrid.operators import aggregates as A
 from pricegrid.operators import evaluation as E

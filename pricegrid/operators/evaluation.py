@@ -207,16 +207,17 @@ def validation_errors(joined: DataFrame, forecast: str = "forecast", naive: str
 def validation_summary(errors: DataFrame, keys: Sequence[str], clean: Column | None = None) -> DataFrame:
     """Mean and exact median APE of both, share of rows the model wins, national means; all and clean rows."""
     keys = [*keys, "subset"]
-    rows = errors.withColumn("subset", F.lit("all"))
-    if clean is not None:
-        rows = rows.unionByName(errors.where(clean).withColumn("subset", F.lit("clean")))
+    subsets = F.array(F.lit("all"), F.when(F.lit(False) if clean is None else clean, F.lit("clean")))
+    rows = errors.withColumn("subset", F.explode(F.array_compact(subsets)))
     means = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("ape_model").alias("mean_ape_model"), F.avg("ape_naive").alias("mean_ape_naive"),
         F.avg((F.col("ape_model") < F.col("ape_naive")).cast("int")).alias("share_model_better"),
         F.avg("forecast").alias("mean_forecast"), F.avg("actual_price").alias("mean_actual"))
-    medians = [
-        ordered.exact_percentiles(rows, keys, c, {f"median_{c}": 0.5}).drop("n") for c in ("ape_model", "ape_naive")]
-    return means.join(medians[0], keys).join(medians[1], keys)
+    # both medians in one pass: the measure is one more key
+    long = rows.unpivot(keys, ["ape_model", "ape_naive"], "__measure", "__ape")
+    medians = ordered.exact_percentiles(long, [*keys, "__measure"], "__ape", {"m": 0.5})
+    pick = lambda c: F.max(F.when(F.col("__measure") == c, F.col("m"))).alias(f"median_{c}")
+    return means.join(medians.groupBy(*keys).agg(pick("ape_model"), pick("ape_naive")), keys)
 
 
 def standardise_by_train(df: DataFrame, features: Sequence[str], is_train: Column, keys: Sequence[str] = ()) -> DataFrame:
