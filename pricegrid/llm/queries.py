@@ -1,6 +1,6 @@
 """All registered queries of the subpackage and their SQL."""
 
-from pricegrid.llm import chat, exact_dedup, html_text, ngram_join, packing, quality, sharding  # noqa: F401
+from pricegrid.llm import chat, exact_dedup, html_text, ngram_join, packing, pii, piece_coding, quality, sharding  # noqa: F401
 from pricegrid.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
