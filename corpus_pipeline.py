@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pricegrid.llm import exact_dedup, ngram_join, packing, pii, quality
 from pricegrid.session import ensure_checkpoint_dir, ship_package
@@ -18,12 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a rule rejects go. Measures are taken beside a copy of the columns, so clashing names are safe."""
+    """Documents that a rule rejects go."""
     ship_package(spark)
-    names = docs.columns
-    whole = docs.selectExpr("struct(*) AS __row", "text AS __body")
-    kept = quality.apply_rules(whole, "__body").where("kept").select("__row.*")
-    return kept.select(*[kept[f"`{n}`"] for n in names])
+    return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,13 +39,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is masked; ``n_chars``, where there is one, is the length of the new text."""
     masked = pii.redact(docs)
-    return masked.withColumn("n_chars", _length(masked)) if "n_chars" in docs.columns else masked
-
-
-def _length(docs: DataFrame):
-    from pyspark.sql import functions as F
-
-    return F.when(docs["text"].isNull(), docs["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    if "n_chars" not in docs.columns:
+        return masked
+    length = F.coalesce(F.length("text"), F.col("n_chars"))
+    return masked.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
