@@ -23,6 +23,8 @@ from pricegrid.session import materialise
 
 #: shingle counts are kept in this many hashed cells, a table of fixed size; they only decide the order of shingles
 CELL_BITS = 20
+#: cells of one row while the table is put together
+SEGMENT = 4096
 #: pairs of min-hashes under which highly similar sets are looked for; they only save work
 KEYS = 4
 #: entries of a list that are compared as one block
@@ -57,19 +59,40 @@ class Threshold:
 
 
 def _count_cells(width: int):
+    """Counts of shingles by cell, one row for each segment of the table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, dtype=np.int64)
         for batch in batches:
             for found in _chunks(shingle_sets(batch.column(0), width)):
                 counts += np.bincount((found >> _U(64 - CELL_BITS)).astype(np.int64), minlength=1 << CELL_BITS)
-        cells = np.flatnonzero(counts)
-        for i in range(0, len(cells), 100_000):
-            part = cells[i: i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["cell", "n"])
+        parts = counts.reshape(-1, SEGMENT)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(parts))), pa.array([_packed(p) for p in parts], pa.binary())], names=["segment", "counts"])
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(counts, dtype=f"u{len(counts) // SEGMENT}")
+
+
+def _sum_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the rows of each segment as they stream by, and turns the sums into ranks."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for segment, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            total = sums.setdefault(segment, np.zeros(SEGMENT, dtype=np.int64))
+            total += _unpacked(counts.as_buffer().to_pybytes())
+    if sums:
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([_rank(c).tobytes() for c in sums.values()], pa.binary()),
+             pa.array([int(c.sum()) for c in sums.values()], pa.int64())], names=["segment", "ranks", "n"])
+
+
 def _chunks(sets: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[np.ndarray]:
     held, size = [], 0
     for found in sets:
@@ -84,7 +107,7 @@ def _chunks(sets: Iterator[np.ndarray], most: int = 2_000_000) -> Iterator[np.nd
 
 def _rank(count):
     """Rarity of a cell as 0 to 255: eight steps for each doubling of the count."""
-    return np.minimum(255, np.floor(8 * np.log2(np.maximum(count, 1)))).astype(np.uint64)
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(count, 1)))).astype(np.uint8)
 
 
 def _describe(width: int, threshold: Threshold, ranks):
@@ -92,7 +115,7 @@ def _describe(width: int, threshold: Threshold, ranks):
     seeds = mix(np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * _U(0xD6E8FEB86659FD93))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = ranks.value
+        rank = np.frombuffer(ranks.value, dtype=np.uint8)
         for batch in batches:
             n, h1, h2, keys, prefixes = [], [], [], [], []
             for found in shingle_sets(batch.column(1), width):
@@ -105,7 +128,8 @@ def _describe(width: int, threshold: Threshold, ranks):
                 h2.append(int(mix(found ^ seeds[0]).sum().astype(np.int64)))
                 lows = np.array([mix(found ^ s).min() for s in seeds])
                 keys.append(mix(lows[0::2] * seeds[0] + lows[1::2]).astype(np.int64))
-                tokens = rank[(found >> _U(64 - CELL_BITS)).astype(np.int64)] << _U(64 - RANK_BITS) | mixed >> _U(RANK_BITS)
+                tokens = rank[(found >> _U(64 - CELL_BITS)).astype(np.int64)].astype(np.uint64)
+                tokens = tokens << _U(64 - RANK_BITS) | mixed >> _U(RANK_BITS)
                 p = threshold.prefix(len(found))
                 if p < len(tokens):
                     tokens = np.partition(tokens, p)[:p]
@@ -250,12 +274,16 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("__text"))
-    counts = rows.select("__text").mapInArrow(_count_cells(width), "cell int, n long").groupBy("cell").agg(
-        F.sum("n").alias("n")).toPandas()  # 2**CELL_BITS rows at most
-    table = np.zeros(1 << CELL_BITS, dtype=np.int64)
-    table[counts["cell"].to_numpy(dtype=np.int64)] = counts["n"].to_numpy(dtype=np.int64)
-    ranks = spark.sparkContext.broadcast(_rank(table))
-    frequent = int(_rank(np.array([LONG_LIST * max(1.0, table.mean())]))[0])
+    segments = (1 << CELL_BITS) // SEGMENT
+    table, total = [bytes(SEGMENT)] * segments, 0
+    for row in (  # the driver gets one byte a cell
+        rows.select("__text").mapInArrow(_count_cells(width), "segment long, counts binary")
+        .repartition("segment").mapInArrow(_sum_segments, "segment long, ranks binary, n long").collect()
+    ):
+        table[row.segment] = bytes(row.ranks)
+        total += row.n
+    ranks = spark.sparkContext.broadcast(b"".join(table))
+    frequent = int(_rank(np.array([LONG_LIST * max(1.0, total / (1 << CELL_BITS))]))[0])
     described = materialise(rows.mapInArrow(
         _describe(width, threshold, ranks), "id long, n long, h1 long, h2 long, keys array<long>, prefix array<long>"))
 
