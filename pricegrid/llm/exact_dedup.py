@@ -86,12 +86,13 @@ def _first(doc_id: str, part: str, at: str):
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. A row is found again by its id and its normalised text;
     rows that repeat both are interchangeable, one of them stays."""
-    keys = ["__keep_id", "__keep_sha"]
     kept = exact_dedup(docs, doc_id, text).where("kept").select(
-        F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]))
-    named = docs.withColumns({"__row_id": F.col(doc_id), "__row_sha": F.sha2(normal_space(F.col(text)), 256)})
-    same = named["__row_id"].eqNullSafe(kept[keys[0]]) & (named["__row_sha"] == kept[keys[1]])
-    return named.join(kept, same, "left_semi").dropDuplicates(["__row_id", "__row_sha"]).drop("__row_id", "__row_sha")
+        F.col("doc_id").alias("keep"), F.col("text_sha256").alias("keep_sha"))
+    named = docs.select(
+        F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.sha2(normal_space(F.col(text)), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("keep")) & (F.col("sha") == F.col("keep_sha"))
+    left = named.join(kept, same, "left_semi").dropDuplicates(["id", "sha"])
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
