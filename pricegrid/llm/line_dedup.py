@@ -50,9 +50,9 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Lines are the text between line feeds; a line's tokens are its distinct lower-cased words. A line is removed when
     an earlier line, by (doc_id, line_no) and whether it stays itself or not, has a Jaccard similarity of UP / DOWN or
-    more with it. Null and empty texts have no lines. Null ids come first in the order; rows that repeat an id repeat
-    its lines, of which one copy stays. An empty table gives no rows; other columns are not looked at. Words are
-    compared by 64-bit hashes.
+    more with it. Null and empty texts have no lines. Null ids come first in the order. Rows that share an id, or have
+    none, count as one document: lines with the same number in it are judged together and do not remove each other.
+    An empty table gives no rows; other columns are not looked at. Words are compared by 64-bit hashes.
 
     1. Every token is counted; a table of fixed size keeps the rarity by hashed cell. Any order gives the same
        result; the rarer the first tokens, the shorter the lists.
