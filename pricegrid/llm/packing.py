@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -24,17 +25,26 @@ FAN_IN = 8
 TASK_BINS = 200_000
 
 
+#: the byte alphabet of byte-level tokenizers: printable Latin-1 characters stand for themselves, the other bytes in
+#: order for the characters from U+0100 on
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
+
+
 class WordEncoder:
     """Token ids of a text as little-endian bytes, from the ids of its words.
 
     The tokenizer lower-cases, and none of its steps looks across white space, so the ids of a text are those of its
-    words in order. ASCII letters are lower-cased before a word is looked up. The cache only saves time: it starts
-    anew when it holds ``most`` words.
+    words in order. ASCII letters are lower-cased before a word is looked up, and a full stop or comma that ends a word
+    of Latin letters, always a token of its own, is looked up apart. Words of lower-case Latin letters pass the
+    tokenizer's first steps unchanged but for the byte alphabet, so its model takes them directly. The cache only
+    saves time: it starts anew when it holds ``most`` words, and lives as long as the worker process.
     """
 
-    WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+    LATIN = rb"(?:[a-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F])"
+    WORD = re.compile(rb"%b++(?=[.,](?:[\x20\x09-\x0D]|\Z))|[^\x20\x09-\x0D]+" % LATIN)
 
-    def __init__(self, path: str, most: int = 400_000) -> None:
+    def __init__(self, path: str, most: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,9 +57,18 @@ class WordEncoder:
         if len(self.known) + len(new) > self.most:
             self.known = {}
             new = set().union(*words)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for word in new:
+            letters = word.decode()
+            if letters.isalpha() and max(letters) < "\u0250" and letters.lower() == letters:
+                if not letters.isascii():
+                    letters = word.decode("latin-1").translate(BYTE_LETTERS)
+                self.known[word] = np.array([t.id for t in tokenize(letters)], dtype="<u4").tobytes()
+            else:
+                rest.append(word)
+        for i in range(0, len(rest), 20_000):
+            part = rest[i:i + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(
                     [w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.known[word] = np.array(found.ids, dtype="<u4").tobytes()
@@ -57,6 +76,11 @@ class WordEncoder:
         return [b"".join(map(get, w)) for w in words]
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
 def _grouped(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` text bytes (or one row)."""
     sizes = np.diff(np.frombuffer(batch.column(1).buffers()[1], dtype=_offset_type(batch.column(1).type))[
@@ -77,7 +101,7 @@ def _offset_type(kind: pa.DataType) -> str:
 
 def _tokenise(path: str, capacity: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, key = WordEncoder(path), TaskContext.get().partitionId() << 33
+        encoder, key = _encoder(path), TaskContext.get().partitionId() << 33
         for whole in batches:
             for batch in _grouped(whole):
                 rows, pieces, starts, lengths, crcs, ids = [], [], [], [], [], []
