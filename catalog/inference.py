@@ -15,6 +15,9 @@ from pricegrid.operators import joins as J
 from pricegrid.operators import panel as P
 from pricegrid.session import materialise
 
+#: fewest weeks of a market's own test
+MARKET_WEEKS = 30
+
 DM_SQL = """
 WITH a AS ({aligned}),
 d AS (SELECT {keys}, horizon_weeks, row_number() OVER (PARTITION BY {keys}, horizon_weeks ORDER BY week_start) AS i, pow(y - b, 2) - pow(y - r, 2) AS d FROM a),
@@ -22,13 +25,13 @@ c AS (SELECT *, d - avg(d) OVER (PARTITION BY {keys}, horizon_weeks) AS c, count
 g AS (SELECT {keys}, horizon_weeks, max(t) AS n, avg(d) AS md, avg(c * c) AS g0 FROM c GROUP BY ALL),
 k AS (SELECT {kx}, x.horizon_weeks, sum(2 * x.c * y.c / (x.t - (y.i - x.i))) AS gk FROM c x JOIN c y ON {kj} AND x.horizon_weeks = y.horizon_weeks AND y.i > x.i AND y.i - x.i < x.horizon_weeks GROUP BY ALL),
 v AS (SELECT *, g0 + coalesce(gk, 0) AS v, horizon_weeks AS h FROM g LEFT JOIN k USING ({keys}, horizon_weeks))
-SELECT {keys}, horizon_weeks, n, CASE WHEN n >= 10 THEN rnd(md, 2) END AS mean_d,
-  CASE WHEN n >= 10 AND v > 0 THEN rnd(md / sqrt(CASE WHEN v > 0 THEN v END / n) * CASE WHEN n + 1 - 2 * h + h * (h - 1) / n > 0 THEN sqrt(greatest(n + 1 - 2 * h + h * (h - 1) / n, 0) / n) ELSE 1 END, 6) END AS "DM_stat" FROM v
+SELECT {keys}, horizon_weeks, n, CASE WHEN n >= {least} THEN rnd(md, 2) END AS mean_d,
+  CASE WHEN n >= {least} AND v > 0 THEN rnd(md / sqrt(CASE WHEN v > 0 THEN v END / n) * CASE WHEN n + 1 - 2 * h + h * (h - 1) / n > 0 THEN sqrt(greatest(n + 1 - 2 * h + h * (h - 1) / n, 0) / n) ELSE 1 END, 6) END AS "DM_stat" FROM v
 """
 
 
-def dm_sql(aligned, keys):
-    return DM_SQL.format(aligned=aligned, keys=", ".join(keys), kx=", ".join(f"x.{k}" for k in keys), kj=" AND ".join(f"x.{k} = y.{k}" for k in keys))
+def dm_sql(aligned, keys, least=10):
+    return DM_SQL.format(aligned=aligned, least=least, keys=", ".join(keys), kx=", ".join(f"x.{k}" for k in keys), kj=" AND ".join(f"x.{k} = y.{k}" for k in keys))
 
 
 CTES["aligned_crop"] = """
@@ -43,6 +46,8 @@ def dm_rows(spark, sf, market, **options):
     keys = ["crop", "market_id", "horizon_weeks"] if market else ["crop", "horizon_weeks"]
     if not market:
         preds = E.weekly_mean_predictions(preds)
+        options.setdefault("min_obs", 10)
+    options.setdefault("min_obs", MARKET_WEEKS)
     return I.diebold_mariano(J.variant_align(preds, "B1", "B3", keys), keys, **options)
 
 
@@ -52,7 +57,7 @@ def diebold_mariano(spark, sf):
     return out.select("crop", "horizon_weeks", "n", fx.r("mean_d", 2), fx.r("DM_stat", 6))
 
 
-@query("diebold_mariano_by_market", dm_sql("SELECT * FROM aligned_market", ["crop", "market_id"]))
+@query("diebold_mariano_by_market", dm_sql("SELECT * FROM aligned_market", ["crop", "market_id"], MARKET_WEEKS))
 def diebold_mariano_by_market(spark, sf):
     out = dm_rows(spark, sf, True, with_p=False, rounded=False)
     return out.select("crop", "market_id", "horizon_weeks", "n", fx.r("mean_d", 2), fx.r("DM_stat", 6))
@@ -167,7 +172,7 @@ def market_leader_ranking(spark, sf):
 @query("model_confidence_set")
 def model_confidence_set(spark, sf):
     losses = I.crop_week_losses(E.weekly_mean_predictions(predictions(spark, sf)))
-    return I.model_confidence_set(losses, replications=500)
+    return I.model_confidence_set(losses)
 
 
 @query("mcs_membership")

@@ -305,8 +305,8 @@ def carry_last_year_forward(spark, sf):
 
 
 @query("oof_residual_join", """
-WITH o AS (SELECT crop, market_id, week_start, horizon_weeks, ma4 AS oof FROM origins JOIN folds ON week_start BETWEEN test_start AND test_end WHERE ma4 IS NOT NULL)
-SELECT crop, market_id, week_start, horizon_weeks, rnd(target - oof, 6) AS residual FROM origins JOIN o USING (crop, market_id, week_start, horizon_weeks) WHERE target IS NOT NULL AND lag1 IS NOT NULL
+WITH a AS MATERIALIZED (SELECT *, unnest([1, 4, 13, 26]) AS horizon_weeks, unnest([t1, t4, t13, t26]) AS target FROM bench)
+SELECT crop, market_id, week_start, horizon_weeks, rnd(target - ma4, 6) AS residual FROM a JOIN folds ON week_start BETWEEN test_start AND test_end WHERE ma4 IS NOT NULL AND target IS NOT NULL AND lag1 IS NOT NULL
 """)
 def oof_residual_join(spark, sf):
     rows = E.with_targets(E.W.benchmark_predictors(fx.logs(spark, sf)))

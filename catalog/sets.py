@@ -14,11 +14,11 @@ from pricegrid.operators import sets as S
 
 
 @query("union_all", """
-SELECT crop, market_id, week_start, arrivals_tonnes_week FROM weekly WHERE crop = 'A' UNION ALL SELECT crop, market_id, week_start, NULL FROM weekly WHERE crop = 'N'
+SELECT crop, market_id, week_start, arrivals_tonnes_week FROM weekly WHERE crop = 'A' UNION ALL SELECT crop, market_id, week_start, NULL FROM weekly WHERE crop <> 'A'
 """)
 def union_all(spark, sf):
     w = fx.weekly(spark, sf)
-    return S.union_all([w.where(F.col("crop") == "A").select(*KEYS, P.ARRIVALS), w.where(F.col("crop") == "N").select(*KEYS)])
+    return S.union_all([w.where(F.col("crop") == "A").select(*KEYS, P.ARRIVALS), w.where(F.col("crop") != "A").select(*KEYS)])
 
 
 @query("dedupe_keys", """

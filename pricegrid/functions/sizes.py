@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from pricegrid.session import materialise
 
 
+#: most bytes of a side that is broadcast, by the declared width of its columns
+MAX_BYTES = 64 << 20
+
+
 def size_checked_broadcast(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Broadcast hint when a bounded count shows at most ``max_rows`` rows; otherwise the frame as it is,
-    which joins by sort-merge with skew splitting."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    """Broadcast hint when a bounded count shows at most ``max_rows`` rows and at most MAX_BYTES; otherwise the
+    frame as it is, which joins by sort-merge with skew splitting."""
+    most = min(max_rows, MAX_BYTES // max(1, df._jdf.schema().defaultSize()))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin over as many tasks as a shuffle has, for small tables with costly Python work per row.
+
+    The number is named, so adaptive execution does not merge the small partitions into one.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def small_side(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from pricegrid import values
 from pricegrid.functions import scalars
 from pricegrid.functions.sizes import size_checked_broadcast
+from pricegrid.operators.sets import leading_entities
 
 
 def unique_on(right: DataFrame, on: Sequence[str], name: str = "right side") -> DataFrame:
@@ -102,18 +103,11 @@ def anti_join_unmatched(df: DataFrame, known: DataFrame, on: Sequence[str]) -> D
 
 
 def ordered_pairs_self_join(series: DataFrame, value: str, group: str = "crop", ident: str = "market_id",
-                            time: str = "week_start", max_entities: int = 100) -> DataFrame:
-    """All ordered pairs inside a group, aligned on time.
-
-    Meant for the selected leaders of each group; a group with more than ``max_entities`` fails instead
-    of multiplying out.
-    """
-    sizes = series.select(group, ident).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    ok = sizes.select(group, F.when(F.col("__n") <= max_entities, F.lit(True)).otherwise(
-        F.raise_error(F.lit(f"more than {max_entities} entities in a group; select leaders first")).cast("boolean")).alias("__ok"))
-    left = series.join(ok, group).where("__ok").select(
-        group, time, F.col(ident).alias("from_id"), F.col(value).alias("x_from"))
-    right = series.select(group, time, F.col(ident).alias("to_id"), F.col(value).alias("x_to"))
+                            time: str = "week_start", k: int = 20) -> DataFrame:
+    """All ordered pairs of a group's ``k`` entities with most rows, aligned on time: k (k - 1) pairs at most."""
+    chosen = leading_entities(series, group, ident, k)
+    left = chosen.select(group, time, F.col(ident).alias("from_id"), F.col(value).alias("x_from"))
+    right = chosen.select(group, time, F.col(ident).alias("to_id"), F.col(value).alias("x_to"))
     return left.join(right, [group, time]).where(F.col("from_id") != F.col("to_id"))
 
 

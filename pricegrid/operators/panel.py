@@ -54,13 +54,10 @@ def weekly_weighted_mean(df: DataFrame, price: str = "modal_price_rs_per_quintal
     )
 
 
-def last_week_by_group(weekly: DataFrame, group: str, limit: int = 10_000) -> Column:
-    """Scalar sub-query: map from group to its last week. The plan fails when groups exceed ``limit``."""
-    ends = weekly.groupBy(group).agg(F.max("week_start").alias("__end"))
-    entries = F.collect_list(F.struct(group, "__end"))
-    checked = F.when(F.count(F.lit(1)) <= limit, F.map_from_entries(entries)).otherwise(
-        F.raise_error(F.lit(f"more than {limit} groups; pass grid_end instead")).cast("map<string,date>"))
-    return ends.agg(checked.alias("ends")).scalar()
+def with_last_week(weekly: DataFrame, group: str, out: str = "__end") -> DataFrame:
+    """Adds the last week of each group; groups may be many or hold most rows, adaptive execution picks the join."""
+    ends = weekly.groupBy(group).agg(F.max("week_start").alias(out)).withColumnRenamed(group, "__group")
+    return weekly.join(ends, weekly[group].eqNullSafe(F.col("__group")), "left").drop("__group")
 
 
 def complete_grid(weekly: DataFrame, keys: Sequence[str] = KEY, group: str = "crop",
@@ -75,13 +72,12 @@ def complete_grid(weekly: DataFrame, keys: Sequence[str] = KEY, group: str = "cr
         weekly = weekly.where(F.col("week_start") >= cal.first_monday_on_or_after(F.lit(grid_start).cast("date")))
     if grid_end is not None:
         weekly = weekly.where(F.col("week_start") <= F.lit(grid_end).cast("date"))
-    ends = last_week_by_group(weekly, group)
     by_week = Window.partitionBy(*keys).orderBy("week_start")
     other = [c for c in weekly.columns if c not in {*keys, "week_start", PRICE}]
     spans = (
-        weekly.withColumn("__next", F.lead("week_start").over(by_week))
+        with_last_week(weekly, group).withColumn("__next", F.lead("week_start").over(by_week))
         .withColumn("next_price", F.lead(PRICE).over(by_week))
-        .withColumn("__last", F.coalesce(F.date_sub("__next", 7), ends[F.col(group)]))
+        .withColumn("__last", F.coalesce(F.date_sub("__next", 7), "__end"))
     )
     slots = spans.select(
         *keys, "next_price", F.col(PRICE).alias("prev_price"), *other,

@@ -71,3 +71,11 @@ def compare_series(df: DataFrame, ids: Sequence[int], value: str, last: int = 10
     w = Window.partitionBy(*keys).orderBy(F.col(week).desc())
     tail = chosen.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= last).drop("__rn")
     return tail.withColumn("has_value", F.count(value).over(Window.partitionBy(*keys)) > 0)
+
+
+def leading_entities(df: DataFrame, group: str, ident: str, k: int) -> DataFrame:
+    """Rows of each group's ``k`` entities with most rows; ties go to the smaller id."""
+    counts = df.groupBy(group, ident).agg(F.count(F.lit(1)).alias("__n"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col("__n").desc(), ident))
+    chosen = counts.withColumn("__place", place).where(F.col("__place") <= k).select(group, ident)
+    return df.join(chosen, [group, ident], "left_semi")

@@ -27,5 +27,4 @@ def market_panel(daily: DataFrame, markets: DataFrame,
 
 def write_panel(panel: DataFrame, path: str) -> None:
     """One folder per crop; the reader prunes on it."""
-    panel.repartition("crop", F.pmod(F.xxhash64("market_id"), F.lit(64))).sortWithinPartitions(
-        "crop", "market_id", "week_start").write.mode("overwrite").partitionBy("crop").parquet(path)
+    panel.hint("rebalance", "crop").sortWithinPartitions("crop", "market_id", "week_start").write.mode("overwrite").partitionBy("crop").parquet(path)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("crop",), fmt: str = "parquet",
-                files_per_partition: int = 8, spread_by: str = "market_id") -> None:
-    """One folder per crop and a readable whole; a hot crop is spread over several writers."""
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(files_per_partition))
-    df.repartition(*partition_by, spread).write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
+                max_rows_per_file: int = 10_000_000) -> None:
+    """One folder per crop and a readable whole; rebalancing splits a hot crop over writers by its size."""
+    df.hint("rebalance", *partition_by).write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).format(
+        fmt).partitionBy(*partition_by).save(path)
 
 
 def json_meta(df: DataFrame, key: Column, **fields: str) -> DataFrame:
