@@ -45,15 +45,18 @@ def set_difference(spark, sf):
 
 
 @query("index_intersection", """
-WITH a AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS full_score FROM weekly GROUP BY ALL), b AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS early FROM weekly WHERE week_start < DATE '1995-06-01' GROUP BY ALL),
-c AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS late FROM weekly WHERE week_start >= DATE '2001-08-01' GROUP BY ALL)
+WITH m AS (SELECT CAST(min(week_start) + (max(week_start) - min(week_start)) // 2 AS DATE) AS mid FROM weekly),
+a AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS full_score FROM weekly GROUP BY ALL), b AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS early FROM weekly WHERE week_start < (SELECT mid FROM m) GROUP BY ALL),
+c AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS late FROM weekly WHERE week_start >= (SELECT mid FROM m) GROUP BY ALL)
 SELECT crop, market_id, rnd(full_score, 6) AS full_score, rnd(early, 6) AS early, rnd(late, 6) AS late FROM a JOIN b USING (crop, market_id) JOIN c USING (crop, market_id)
 """)
 def index_intersection(spark, sf):
     w = fx.weekly(spark, sf)
     score = lambda rows, name: rows.groupBy("crop", "market_id").agg(F.avg(P.ARRIVALS).alias(name))
-    out = S.index_intersection([score(w, "full_score"), score(w.where(F.col("week_start") < "1995-06-01"), "early"),
-                                score(w.where(F.col("week_start") >= "2001-08-01"), "late")], ["crop", "market_id"])
+    first, last = F.min("week_start"), F.max("week_start")
+    middle = w.agg(F.date_add(first, F.floor(F.datediff(last, first) / 2).cast("int"))).scalar()
+    out = S.index_intersection([score(w, "full_score"), score(w.where(F.col("week_start") < middle), "early"),
+                                score(w.where(F.col("week_start") >= middle), "late")], ["crop", "market_id"])
     return out.select("crop", "market_id", fx.r("full_score", 6), fx.r("early", 6), fx.r("late", 6))
 
 
