@@ -45,7 +45,7 @@ def set_difference(spark, sf):
 
 
 @query("index_intersection", """
-WITH m AS (SELECT CAST(min(week_start) + (max(week_start) - min(week_start)) // 2 AS DATE) AS mid FROM weekly),
+WITH m AS (SELECT CAST(min(week_start)::DATE + CAST(floor(datediff('day', min(week_start), max(week_start)) / 2) AS INTEGER) AS DATE) AS mid FROM weekly),
 a AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS full_score FROM weekly GROUP BY ALL), b AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS early FROM weekly WHERE week_start < (SELECT mid FROM m) GROUP BY ALL),
 c AS (SELECT crop, market_id, avg(arrivals_tonnes_week) AS late FROM weekly WHERE week_start >= (SELECT mid FROM m) GROUP BY ALL)
 SELECT crop, market_id, rnd(full_score, 6) AS full_score, rnd(early, 6) AS early, rnd(late, 6) AS late FROM a JOIN b USING (crop, market_id) JOIN c USING (crop, market_id)
