@@ -21,11 +21,12 @@ from pyspark.sql.window import Window
 
 from pricegrid import values
 from pricegrid.functions import ordered
+from pricegrid.functions.sizes import spread
 from pricegrid.operators import evaluation as E
 from pricegrid.operators import inference as I
 from pricegrid.operators.cleaning import feature_fill_zero
 from pricegrid.operators.joins import oof_residual_join
-from pricegrid.session import materialise
+from pricegrid.session import materialise, written
 
 ID = ["crop", "market_id", "week_start", "horizon_weeks"]
 
@@ -53,7 +54,8 @@ def _each(items: Sequence, work: Callable, threads: int = 3) -> list:
 
 @dataclass(frozen=True)
 class TrainingSet:
-    """Vectors written once, not once per fold; a fold is a filter on them."""
+    """Vectors written once, not once per fold, as a table partitioned by crop and horizon: the rows of a cell are
+    those of one partition, a fold is a filter on them."""
 
     rows: DataFrame
     cells: list[tuple[str, int, E.Fold]]
@@ -74,7 +76,7 @@ def training_rows(features_df: DataFrame, features: Sequence[str], horizons: Seq
     named = vectors or {"features": features}
     for name, columns in named.items():
         rows = assemble(rows, columns, name)
-    rows = materialise(rows.select(*ID, "target", "log_price", *named))
+    rows = written(rows.select(*ID, "target", "log_price", *named), "crop", "horizon_weeks")
     splits = E.rolling_origin_splits(rows, folds, F.col("horizon_weeks") if embargo else 0, train_floor)
     sizes = E.fold_sizes(splits, ["crop", "horizon_weeks", "fold"]).where("usable").collect()
     by_number = {f[0]: f for f in folds}
@@ -102,7 +104,7 @@ def model_family_compare(data: TrainingSet, families: dict[str, object]) -> Data
 def spike_classifier(labelled: DataFrame, features: Sequence[str], folds: Sequence[E.Fold], iterations: int = 10) -> DataFrame:
     """Classifier on spike labels per crop and fold: (crop, fold, n, auc, avg_precision)."""
     rows = E.rolling_origin_splits(labelled, folds)
-    vectors = materialise(assemble(rows, features).select("crop", "fold", "split", "spike", "features"))
+    vectors = written(assemble(rows, features).select("crop", "fold", "split", "spike", "features"), "crop", "fold")
     # a crop without both classes in training cannot be fitted
     mixed = vectors.where(F.col("split") == "train").groupBy("crop", "fold").agg(
         F.min("spike").alias("a"), F.max("spike").alias("b")).where(F.col("a") != F.col("b"))
@@ -144,8 +146,11 @@ def fit_final_and_persist(rows: DataFrame, features: Sequence[str], path: str, h
 
 
 def batch_score(rows: DataFrame, models: dict[str, str], features: Sequence[str]) -> DataFrame:
-    """Score every market's row with its crop's model at every horizon; prices, not logs."""
-    filled = feature_fill_zero(rows.withColumns({f: F.col(f).cast("double") for f in features}), features)
+    """Score every market's row with its crop's model at every horizon; prices, not logs.
+
+    The rows are written once by crop, so their features are computed once and a model reads its crop only.
+    """
+    filled = written(feature_fill_zero(rows.withColumns({f: F.col(f).cast("double") for f in features}), features), "crop")
     scored = []
     for key, path in models.items():
         crop, horizon = key.rsplit("_", 1)
@@ -197,11 +202,12 @@ def scenario_effects(scored: DataFrame, keys: Sequence[str], baseline: str = "ba
 def scenario_score(rows: DataFrame, overrides: Sequence[Override], score: Callable[[DataFrame], DataFrame],
                    keys: Sequence[str] = ("crop", "market_id", "horizon_weeks"), clamp: Sequence[str] = ()) -> DataFrame:
     """Override, score, compare: exact median, p10 and p90 of % change per (crop, scenario, horizon)."""
-    effects = scenario_effects(score(scenario_rows(rows, overrides)), keys, clamp=clamp)
+    scored = score(scenario_rows(rows, overrides))
+    effects = materialise(scenario_effects(scored, keys, clamp=clamp).select("crop", "scenario", "horizon_weeks", "pct_change", "clamped"))
     cells = ["crop", "scenario", "horizon_weeks"]
-    spread = ordered.exact_percentiles(effects, cells, "pct_change", {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    percentiles = ordered.exact_percentiles(effects, cells, "pct_change", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     share = effects.groupBy(*cells).agg(F.avg(F.col("clamped").cast("int")).alias("clamped_share"))
-    return spread.join(share, cells)
+    return percentiles.join(share, cells)
 
 
 def scenario_names_of_levers(overrides: Sequence[Override], levers: Sequence[str] = values.MONOTONE_DOWN_LEVERS) -> list[str]:
@@ -355,27 +361,38 @@ def per_series_arima(arrays: DataFrame, steps: int, min_points: int = 52) -> Dat
             for x in series])
 
     rest = [c for c in arrays.columns if c not in ("weeks", "series")]
-    return arrays.select(*rest, F.element_at("weeks", -1).alias("__last"), F.inline(run("series"))).select(
+    return spread(arrays).select(*rest, F.element_at("weeks", -1).alias("__last"), F.inline(run("series"))).select(
         *rest, F.date_add(F.date_from_unix_date("__last"), F.col("step") * 7).alias("week_start"), "step", "forecast")
 
 
+def _with_successor(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds the value of the next row of the same keys in the given order; the last row takes the first one's.
+
+    The order is laid out by range partitions. A window sees the rows of one partition, and the first row of each
+    partition, one for a key and partition, fills the gap at the end of the one before.
+    """
+    placed = materialise(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "__part").orderBy(*order)
+    heads = placed.groupBy(*keys, "__part").agg(F.min_by(value, F.struct(*order)).alias("__head"))
+    parts = Window.partitionBy(*keys).orderBy("__part")
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.withColumn("__next", F.coalesce(F.lead("__head").over(parts), F.first("__head").over(whole))).drop("__head")
+    return placed.withColumn("__lead", F.lead(value).over(inside)).join(heads, [*keys, "__part"]).withColumn(
+        out, F.coalesce("__lead", "__next")).drop("__part", "__lead", "__next")
+
+
 def permutation_importance(rows: DataFrame, model, features: Sequence[str], keys: Sequence[str] = ("crop", "horizon_weeks"),
-                           block_rows: int = 50_000, seed: int = 42) -> DataFrame:
+                           seed: int = 42) -> DataFrame:
     """Rise of the squared error when one feature is shuffled: (keys, feature, importance).
 
-    Rows are shuffled inside random blocks of bounded size, so the shuffle is a window over a block. All
+    A row takes the feature of its successor in the order of a seeded hash, whatever the number of rows. All
     features share that one pass and one scoring job.
     """
-    n = rows.count()
-    blocks = max(1, n // block_rows)
     ident = F.xxhash64(*[F.col(c) for c in ("crop", "market_id", "week_start")], F.lit(seed))
-    array = vector_to_array("features")
-    w = Window.partitionBy(*keys, "__block").orderBy("__h", "market_id", "week_start")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    mixed = (
-        rows.withColumns({"__h": ident, "__x": array}).withColumn("__block", F.pmod(F.xxhash64("__h"), F.lit(blocks)))
-        .withColumn("__other", F.coalesce(F.lead("__x").over(w), F.first("__x").over(whole)))
-    )
+    mixed = _with_successor(
+        rows.withColumns({"__h": ident, "__x": vector_to_array("features")}).select(*keys, "target", "__h", "market_id", "week_start", "__x"),
+        keys, ["__h", "market_id", "week_start"], "__x", "__other")
+
     def swapped(i: int) -> Column:
         return F.transform("__x", lambda v, at: F.when(at == i, F.element_at("__other", i + 1)).otherwise(v))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,6 +53,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, *partition_by: str) -> DataFrame:
+    """The frame as a Parquet table under the checkpoint folder: columns and partitions can be skipped when it is
+    read. Rebalancing spreads a hot partition over writers by its size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    rows = df.hint("rebalance", *partition_by) if partition_by else df
+    rows.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send the package to the Python workers, once per application, wherever the driver was started."""
     context = spark.sparkContext

@@ -71,7 +71,7 @@ def test_only_the_used_feature_is_important(spark):
     rows = spark.range(500).select(
         F.lit("onion").alias("crop"), F.lit(1).alias("horizon_weeks"), F.col("id").alias("market_id"), F.lit("2020-01-06").cast("date").alias("week_start"),
         (F.col("id") % 17).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b")).withColumn("target", F.col("a") * 2)
-    out = H.permutation_importance(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows), Linear(), ["a", "b"], block_rows=100)
+    out = H.permutation_importance(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows), Linear(), ["a", "b"])
     got = {r.feature: r.importance for r in out.collect()}
     assert got["a"] > 1 and got["b"] == 0
 
