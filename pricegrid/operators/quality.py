@@ -58,10 +58,13 @@ def id_count_match(panel: DataFrame, derived: DataFrame, group: str = "crop", id
 
 
 def required_columns(spark: SparkSession, df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """A schema check: one row per required column."""
-    present = set(df.columns)
-    rows = [("required_columns", n, "PASS" if n in present else "FAIL", float(n in present)) for n in names]
-    return spark.createDataFrame(rows, "check string, subject string, status string, measured double")
+    """One row per required column: it is there and holds a value; ``measured`` counts its values."""
+    there = [n for n in names if n in df.columns]
+    counted = df.agg(F.lit(0).alias("__none"), *[F.count(n).alias(n) for n in there])
+    return counted.select(F.inline(F.array(*[
+        F.struct(F.lit("required_columns").alias("check"), F.lit(n).alias("subject"),
+                 F.when(value > 0, "PASS").otherwise("FAIL").alias("status"), value.cast("double").alias("measured"))
+        for n in names for value in [F.col(n) if n in there else F.col("__none")]])))
 
 
 def no_nulls_in_groups(df: DataFrame, groups: Mapping[str, Sequence[str]], worst: int = 5) -> DataFrame:

@@ -257,9 +257,9 @@ def lookback_sequence(df: DataFrame, features: Sequence[str], target: str, horiz
 
 
 def time_index(df: DataFrame, week: str = WEEK, out: str = "time_idx") -> DataFrame:
-    """0-based place of the week among all distinct weeks; the distinct weeks are one calendar."""
-    weeks = df.select(week).distinct().agg(F.array_sort(F.collect_list(week)).alias("w")).scalar()
-    return df.withColumn(out, (F.array_position(weeks, F.col(week)) - 1).cast("int"))
+    """0-based place of the week among all distinct weeks, which are one calendar and numbered in one task."""
+    weeks = df.where(F.col(week).isNotNull()).select(week).distinct()
+    return df.join(weeks.withColumn(out, F.row_number().over(Window.orderBy(week)) - 1), week, "left")
 
 
 def daily_curve(points: DataFrame, knots: Sequence[int], columns: Sequence[str], start: str, band: str,

@@ -11,6 +11,7 @@ from pricegrid import values
 from pricegrid.operators import cleaning as C
 from pricegrid.operators import windows as W
 
+# Feature names are fixed values: saved models and published tables refer to columns by these names.
 PRICE_FEATURES = (
     [f"price_lag_{k}" for k in values.PRICE_LAGS]
     + [f"price_roll_{s}_{n}" for s in ("mean", "std") for n in values.PRICE_WINDOWS]
