@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrid.llm.common import query, read
-from pricegrid.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
 #: label 0 is "no personal data", label k is KINDS[k - 1]
@@ -292,9 +291,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_docs:
     """Fit the field on a bounded sample: the ``most_docs`` documents with a digit or @ whose ids hash lowest, labelled
     by the fixed patterns, up to ``most_tokens`` tokens in that order. Only feature numbers reach the driver. Without
     such documents the field adds nothing."""
-    sample = (
-        docs.select(F.xxhash64(doc_id).alias("rank"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
-        .orderBy("rank", "text").limit(most_docs))
+    marked = docs.select(F.xxhash64(doc_id).alias("rank"), F.col(text).alias("text")).where(F.col("text").rlike("[0-9@]"))
+    # the last rank first, so that no text but those of the sample is moved
+    last = marked.select("rank").orderBy("rank").limit(most_docs).agg(F.max("rank")).first()[0]
+    sample = marked.where(F.col("rank") <= F.lit(last).cast("long")).orderBy("rank", "text").limit(most_docs)
     parts = sample.mapInArrow(_fit_rows, "rank long, features array<long>, labels array<long>, gap array<long>, twin array<long>")
     features, labels, gap, twin, total = [], [], [], [], 0
     for row in parts.orderBy("rank", "features").toLocalIterator():
@@ -371,7 +371,6 @@ def masked(text: str, spans: Sequence[Span]) -> str:
 
 def redact(docs: DataFrame, field: SkipChainField | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all spans in ``text`` masked; every row and the other columns stay. Null texts stay null."""
-    ship_package(docs.sparkSession)
     field = fit(docs, doc_id, text) if field is None else field
     column = docs.columns.index(text)
 
