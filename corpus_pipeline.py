@@ -13,31 +13,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrid.llm import exact_dedup, ngram_join, packing, pii, quality
-from pricegrid.session import ensure_checkpoint_dir, ship_package
+from pricegrid.llm.common import prepare
+from pricegrid.session import ensure_checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the smallest id stays."""
-    ship_package(spark)
+    prepare(spark)
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, one of each group stays."""
-    ship_package(spark)
+    prepare(spark)
     return ngram_join.drop_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is masked; ``n_chars``, where there is one, is the length of the new text."""
+    prepare(spark)
     masked = pii.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -47,7 +49,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokenised pieces and their places in sequences."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(docs, packing.public_tokenizer("word_bpe_49k.json"))
 
 

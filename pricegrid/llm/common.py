@@ -18,13 +18,23 @@ ORACLES: dict[str, str] = {}
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: bytes of an Arrow batch; rows hold whole texts, and a batch is held by both sides
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers and keep Arrow batches small, as rows hold whole texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` as a query, with its DuckDB SQL where there is one."""
 
     def keep(fn):
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf)
 
         QUERIES[name] = run

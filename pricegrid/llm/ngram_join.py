@@ -26,7 +26,7 @@ CELL_BITS = 20
 #: cells of one row while the table is put together
 SEGMENT = 4096
 #: pairs of min-hashes under which highly similar sets are looked for; they only save work
-KEYS = 4
+KEYS = 8
 #: entries of a list that are compared as one block
 BLOCK = 256
 #: lists of shingles whose cell counts this many times the mean or more are also cut by set size
@@ -145,15 +145,17 @@ def _describe(width: int, threshold: Threshold, ranks):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, held, size = [], [], 0
+            rows, held, short, size = [], [], [], 0
             for row, found in enumerate(shingle_sets(batch.column(1), width)):
                 rows.append(row)
                 held.append(found.astype(np.int64))
+                short.append(np.unique(found.astype(np.uint16)).astype(np.int16))
                 size += len(found)
                 if size >= 500_000 or row == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(rows)), pa.array(held, pa.list_(pa.int64()))], names=["id", "set"])
-                    rows, held, size = [], [], 0
+                        [batch.column(0).take(pa.array(rows)), pa.array(short, pa.list_(pa.int16())),
+                         pa.array(held, pa.list_(pa.int64()))], names=["id", "short", "set"])
+                    rows, held, short, size = [], [], [], 0
 
     return run
 
@@ -247,13 +249,26 @@ class _Texts:
             wanted = F.broadcast(wanted)
         return materialise(
             self.rows.join(wanted, "id", "left_semi").select("id", "__text").mapInArrow(
-                _sets(self.width), "id long, set array<long>"))
+                _sets(self.width), "id long, short array<short>, set array<long>"))
 
 
 def _with_set(pairs: DataFrame, sets: DataFrame, column: str, name: str) -> DataFrame:
     return pairs.join(sets.select(F.col("id").alias(column), F.col("set").alias(name)), column)
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, a: str, b: str, need: Column) -> DataFrame:
+    """Pairs whose overlap may reach ``need`` by the last 16 bits of their shingles, a quarter of the data.
+
+    Every common shingle has common last bits, and shingles of one set with equal last bits number at most ``lost``.
+    """
+    for column, name in ((a, "a"), (b, "b")):
+        pairs = pairs.join(sets.select(
+            F.col("id").alias(column), F.col("short").alias(f"short_{name}"),
+            (F.size("set") - F.size("short")).alias(f"lost_{name}")), column)
+    most = F.size(F.array_intersect("short_a", "short_b")) + F.least("lost_a", "lost_b")
+    return pairs.where(most >= need).drop("short_a", "short_b", "lost_a", "lost_b")
+
+
 def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Threshold(90, 100),
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id``, the smallest id reachable by links.
@@ -266,11 +281,12 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
     10**13 for sets of a thousand) could count as a common shingle.
 
     1. Counts of all shingles in hashed cells order the shingles by rarity; equal sets become one class.
-    2. Sets that share a pair of min-hashes with the smallest id under it, their leader, are compared with it. This
+    2. Sets that share pairs of min-hashes with the smallest id under them, their leader, are compared with it. This
        makes most links in time proportional to the number of sets, however many copies a text has.
     3. The index holds the rarest tokens of every set. A list yields only pairs of sets that step 2 has not connected,
        so a large group of near copies yields few. No list is cut: very long ones are split by set size.
-    4. Overlaps with the leader decide the pairs of its followers by bounds, or by correction where bounds are open.
+    4. A quarter of each shingle's bits rules out most candidates. Overlaps with the leader decide the pairs of its
+       followers by bounds, or by correction where bounds are open.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("__text"))
@@ -305,8 +321,9 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
                                               >= F.lit(threshold.up) * F.greatest("n", "nl")))
         .select(F.col("id").alias("x"), F.col("n").alias("nx"), "l", "nl").distinct())
     near_sets = texts.of(close.select(F.col("x").alias("id")), close.select(F.col("l").alias("id")))
+    likely = _plausible(close, near_sets, "x", "l", threshold.overlap(F.col("nx"), F.col("nl")))
     followers = materialise(
-        _with_set(_with_set(close, near_sets, "x", "sx"), near_sets, "l", "sl")
+        _with_set(_with_set(likely, near_sets, "x", "sx"), near_sets, "l", "sl")
         .select("x", "nx", "l", "nl", F.array_except("sx", "sl").alias("added"), F.array_except("sl", "sx").alias("removed"))
         .withColumn("common", F.col("nx") - F.size("added")).where(linked))
     groups = connected_components(followers, "x", "l")
@@ -344,7 +361,8 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
                 threshold.overlap(F.col("nx"), F.col("nz")).alias("need")))
 
     # step 4: answers of leaders, then of their followers
-    far_sets = texts.of(pairs.select(F.col("z").alias("id")), pairs.select(F.col("l").alias("id")))
+    far_sets = texts.of(*[pairs.select(F.col(c).alias("id")) for c in ("x", "z", "l")])
+    pairs = materialise(_plausible(pairs, far_sets, "x", "z", F.col("need")))
     answers = _with_set(_with_set(pairs.select("z", "l").distinct(), far_sets, "z", "sz"), far_sets, "l", "sl").select(
         "z", "l", F.size(F.array_intersect("sz", "sl")).alias("answer"))
     bounded = materialise(pairs.join(answers, ["z", "l"]).where(F.col("answer") + F.col("plus") >= F.col("need")))
