@@ -234,6 +234,15 @@ def _pair_batch(found: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["x", "z"])
 
 
+def _wanted(*ids: DataFrame) -> DataFrame:
+    """The distinct ids, with a broadcast hint when there are at most MOST_IDS."""
+    wanted = ids[0]
+    for more in ids[1:]:
+        wanted = wanted.unionByName(more)
+    wanted = materialise(wanted.distinct())
+    return F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted
+
+
 class _Texts:
     """Shingle sets of chosen documents, computed from their texts again instead of being kept for all."""
 
@@ -241,14 +250,8 @@ class _Texts:
         self.rows, self.width = rows, width
 
     def of(self, *ids: DataFrame) -> DataFrame:
-        wanted = ids[0]
-        for more in ids[1:]:
-            wanted = wanted.unionByName(more)
-        wanted = materialise(wanted.distinct())
-        if wanted.count() <= MOST_IDS:
-            wanted = F.broadcast(wanted)
         return materialise(
-            self.rows.join(wanted, "id", "left_semi").select("id", "__text").mapInArrow(
+            self.rows.join(_wanted(*ids), "id", "left_semi").select("id", "__text").mapInArrow(
                 _sets(self.width), "id long, short array<short>, set array<long>"))
 
 
@@ -321,7 +324,8 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
                                               >= F.lit(threshold.up) * F.greatest("n", "nl")))
         .select(F.col("id").alias("x"), F.col("n").alias("nx"), "l", "nl").distinct())
     near_sets = texts.of(close.select(F.col("x").alias("id")), close.select(F.col("l").alias("id")))
-    likely = _plausible(close, near_sets, "x", "l", threshold.overlap(F.col("nx"), F.col("nl")))
+    likely = materialise(_plausible(close, near_sets, "x", "l", threshold.overlap(F.col("nx"), F.col("nl"))))
+    near_sets = near_sets.join(_wanted(*[likely.select(F.col(c).alias("id")) for c in ("x", "l")]), "id", "left_semi")
     followers = materialise(
         _with_set(_with_set(likely, near_sets, "x", "sx"), near_sets, "l", "sl")
         .select("x", "nx", "l", "nl", F.array_except("sx", "sl").alias("added"), F.array_except("sl", "sx").alias("removed"))
@@ -363,6 +367,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
     # step 4: answers of leaders, then of their followers
     far_sets = texts.of(*[pairs.select(F.col(c).alias("id")) for c in ("x", "z", "l")])
     pairs = materialise(_plausible(pairs, far_sets, "x", "z", F.col("need")))
+    far_sets = far_sets.join(_wanted(*[pairs.select(F.col(c).alias("id")) for c in ("z", "l")]), "id", "left_semi")
     answers = _with_set(_with_set(pairs.select("z", "l").distinct(), far_sets, "z", "sz"), far_sets, "l", "sl").select(
         "z", "l", F.size(F.array_intersect("sz", "sl")).alias("answer"))
     bounded = materialise(pairs.join(answers, ["z", "l"]).where(F.col("answer") + F.col("plus") >= F.col("need")))
