@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricegrid.llm.common import query, read, words_of
-from pricegrid.session import materialise
+from pricegrid.session import materialise, written
 
 #: hashed cells of the rarity table, one byte each; its size does not depend on the data
 CELL_BITS = 16
@@ -14,25 +14,24 @@ CELL_BITS = 16
 UP, DOWN = 4, 5
 
 
+#: lines up to this number are broadcast (id and number each) to pick out those whose sets are compared
+MOST_LINES = 1_000_000
+
+
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, line_no, tokens, n``: the lines with a word, their distinct lower-cased words as sorted hashes."""
-    return (
-        docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
-                    .alias("line_no", "line"))
-        .select("doc_id", "line_no", F.array_distinct(F.transform(
-            words_of(F.lower("line")), lambda w: F.xxhash64(w))).alias("tokens"))
-        .where(F.size("tokens") > 0)
-        .withColumn("n", F.size("tokens")))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(
+        F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("line_no", "line"))
 
 
 def _cell(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - CELL_BITS)
 
 
-def _rarity(lines: DataFrame) -> bytes:
-    """For each cell the rarity of its most frequent token: 0 for a token that occurs once, then four steps for each
-    doubling of the count. It never ranks a token rarer than it is. The driver gets one number a cell."""
-    counts = lines.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+def _rarity(docs: DataFrame, text: str) -> bytes:
+    """For each cell the rarity of its most frequent word: 0 for a word that occurs once, then four steps for each
+    doubling of the count. It never ranks a word rarer than it is. The driver gets one number a cell."""
+    words = docs.select(F.explode(words_of(F.lower(F.col(text)))).alias("word"))
+    counts = words.groupBy(F.xxhash64("word").alias("token")).agg(F.count(F.lit(1)).alias("c"))
     cells = counts.groupBy(_cell(F.col("token")).cast("int").alias("cell")).agg(F.max("c").alias("c"))
     ranks = bytearray(1 << CELL_BITS)
     for row in cells.select("cell", F.least(F.ceil(4 * F.log2(F.col("c").cast("double"))), F.lit(127)).alias("rank")).collect():
@@ -63,39 +62,55 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
        are not indexed. Hot tokens are split by adaptive execution.
     4. Candidates are verified on their whole sets, computed again from the texts of these lines only.
     """
-    lines = _lines(docs, doc_id, text)
-    ranks = F.lit(_rarity(lines))
+    ranks = F.lit(_rarity(docs, text))
     first = F.struct("doc_id", "line_no")
 
-    def ranked(t: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, _cell(t).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(t, 8))
+    def ranked(w: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, _cell(F.xxhash64(w)).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
 
-    token = F.transform("tokens", ranked)
-    prefix = F.col("n") - F.ceil(F.col("n") * UP / F.lit(DOWN)).cast("int") + 1
-    keyed = materialise(
-        lines.withColumn("sorted", F.sort_array(token))
+    def tokens(lines: DataFrame) -> DataFrame:
+        return lines.withColumn("tokens", F.array_distinct(F.transform(words_of(F.col("line")), ranked))).drop("line").where(
+            F.size("tokens") > 0)
+
+    once = F.lit(1 << 56)  # tokens below occur in one line only
+    length = F.col("n") - F.ceil(F.col("n") * UP / F.lit(DOWN)).cast("int") + 1
+    keyed = written(
+        tokens(_lines(docs, doc_id, text))
+        .select("doc_id", "line_no", F.size("tokens").alias("n"), F.sort_array("tokens").alias("sorted"))
         .select("doc_id", "line_no", "n", F.xxhash64("sorted").alias("h1"), F.hash("sorted").alias("h2"),
-                F.slice("sorted", F.lit(1), prefix).alias("prefix")))
-    groups = keyed.groupBy("h1", "h2", "n").agg(
-        F.min(first).alias("first"), F.min_by("prefix", first).alias("prefix"))
-    classes = materialise(groups.select("h1", "h2", "n", "first", "prefix"))
-
-    postings = classes.select("first", "n", F.posexplode("prefix").alias("at", "token")).where(
-        F.col("token") >= F.lit(1 << 56))
-    a, b = postings.alias("a"), postings.alias("b")
-    enough = _overlap(F.col("a.n"), F.col("b.n"))
+                F.slice("sorted", F.lit(1), length).alias("head"))
+        .withColumn("prefix", F.filter("head", lambda t: t >= once))
+        .withColumn("skipped", F.size("head") - F.size("prefix")).drop("head"))
+    # equal sets have equal prefixes
+    classes = written(
+        keyed.groupBy("h1", "h2", "n").agg(F.min(first).alias("first"), F.first("prefix").alias("prefix"), F.first("skipped").alias("skipped"))
+        .withColumn("id", F.monotonically_increasing_id()))
+
+    postings = classes.select(
+        "id", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
+        "token", "id", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
+    n_a, n_b = (F.shiftright(c, 32).cast("int") for c in ("a.n_at", "b.n_at"))
+    at_a, at_b = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in ("a.n_at", "b.n_at"))
     pairs = (
-        a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.first") < F.col("b.first"))
-               & (DOWN * F.least("a.n", "b.n") >= UP * F.greatest("a.n", "b.n"))
-               & (F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= enough))
-        .select(F.col("a.first").alias("early"), F.col("b.first").alias("late")).distinct())
-    pairs = materialise(pairs)
-
-    wanted = pairs.select(F.col("early").alias("w")).unionByName(pairs.select(F.col("late").alias("w"))).distinct()
+        postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))
+                                 & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
+                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b)))
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
+    firsts = classes.select("id", "first")
+    pairs = materialise(
+        pairs.join(firsts.withColumnsRenamed({"id": "a", "first": "first_a"}), "a")
+        .join(firsts.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
+        .where(F.col("first_a") != F.col("first_b"))
+        .select(F.least("first_a", "first_b").alias("early"), F.greatest("first_a", "first_b").alias("late")))
+
+    wanted = materialise(
+        pairs.select(F.col("early").alias("w")).unionByName(pairs.select(F.col("late").alias("w"))).distinct())
+    if wanted.count() <= MOST_LINES:
+        wanted = F.broadcast(wanted)
     sets = materialise(
-        _lines(docs, doc_id, text).join(
-            wanted, first.eqNullSafe(F.col("w")), "left_semi").select(first.alias("w"), "tokens").distinct())
+        tokens(_lines(docs, doc_id, text).join(wanted, first.eqNullSafe(F.col("w")), "left_semi"))
+        .select(first.alias("w"), "tokens").distinct())
     early, late = sets.alias("early"), sets.alias("late")
     common = F.size(F.array_intersect("early.tokens", "late.tokens"))
     gone = (
@@ -105,7 +120,7 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .select(F.col("p.late").alias("first")).distinct().withColumn("gone", F.lit(True)))
     judged = classes.select("h1", "h2", "n", "first").join(gone, "first", "left").select(
         "h1", "h2", "n", "first", F.col("gone").isNull().alias("stays"))
-    return keyed.join(judged, ["h1", "h2", "n"]).select(
+    return keyed.select("doc_id", "line_no", "n", "h1", "h2").join(judged, ["h1", "h2", "n"]).select(
         "doc_id", "line_no", F.col("n").alias("n_tokens"),
         (F.col("stays") & first.eqNullSafe(F.col("first"))).alias("kept"))
 
