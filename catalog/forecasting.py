@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.cleaning import SEASONS
-from catalog.joins import FOLDS
+from catalog.joins import FOLDS, master_panel
 from catalog.registry import query
 from catalog.windows import EPISODES, KEYS, crop_week
+from pricegrid import values
 from pricegrid.operators import aggregates as A
 from pricegrid.operators import early_warning
 from pricegrid.operators import evaluation as E
@@ -18,9 +19,14 @@ from pricegrid.plans import features as X
 from pricegrid.plans import forecasting as H
 from pricegrid.session import ensure_checkpoint_dir, materialise
 
-SMALL = ["price_lag_1", "price_lag_4", "price_lag_52", "price_roll_mean_4", "price_roll_std_8", "sin_week", "cos_week", "year_trend"]
-MORE = SMALL + X.ARRIVAL_FEATURES
-ITERATIONS = 3
+PRICE = X.PRICE_FEATURES
+MORE = PRICE + X.ARRIVAL_FEATURES
+LAYERS = {"price": PRICE, "arrivals": X.ARRIVAL_FEATURES, "macro": ["n_orders", "repo", "usdinr", "diesel"], "climate": ["heat", "rain"],
+          "satellite": ["ndvi"], "infrastructure": ["wage", "capacity", "n_facilities", "density"], "policy": ["export_banned"]}
+EVERY = [c for columns in LAYERS.values() for c in columns]
+# published maxima; boosting with validation rows stops early
+TREES, SPIKE_TREES, EPISODE_TREES = 1000, 500, 200
+FOREST = (300, 20)
 
 
 def features(spark, sf):
@@ -28,6 +34,11 @@ def features(spark, sf):
     return X.build_features(panel, fx.LAST_BASE_YEAR, SEASONS)
 
 
+def layered_features(spark, sf):
+    """All features with the columns of every layer."""
+    return X.build_features(master_panel(spark, sf), fx.LAST_BASE_YEAR, SEASONS)
+
+
 @query("build_features", """
 SELECT crop, market_id, week_start, rnd(lag(log_price, 8) OVER w, 6) AS price_lag_8, rnd(lag(log_arr, 2) OVER w, 6) AS arr_lag_2, CAST(year(week_start) - 1995 AS INTEGER) AS year_trend,
   CAST(dense_rank() OVER (PARTITION BY crop ORDER BY market_id) - 1 AS INTEGER) AS market_enc, CAST(dense_rank() OVER (PARTITION BY crop ORDER BY state) - 1 AS INTEGER) AS state_enc
@@ -39,35 +50,35 @@ def build_features(spark, sf):
 
 @query("layered_feature_sets")
 def layered_feature_sets(spark, sf):
-    rows = features(spark, sf)
-    sets = X.layered_feature_sets({"price": X.PRICE_FEATURES, "arrivals": X.ARRIVAL_FEATURES, "macro": ["repo_rate_pct"]}, rows.columns)
-    filled = rows.agg(*[F.count(c).alias(c) for c in sets["M2"]])
+    rows = layered_features(spark, sf)
+    sets = X.layered_feature_sets(LAYERS, rows.columns)
+    filled = rows.agg(*[F.count(c).alias(c) for c in sets["M6"]])
     entries = [F.struct(F.lit(m).alias("variant"), F.lit(c).alias("feature"), F.col(c).alias("n_filled")) for m, cols in sets.items() for c in cols]
     return filled.select(F.inline(F.array(*entries)))
 
 
 @query("train_eval_gbt")
 def train_eval_gbt(spark, sf):
-    data = H.training_rows(features(spark, sf), MORE, [4], FOLDS[:1])
-    return E.forecast_metrics(H.train_eval(data, H.gbt(ITERATIONS, 4), "M1"))
+    data = H.training_rows(features(spark, sf), MORE, values.HORIZONS, FOLDS)
+    return E.forecast_metrics(H.train_eval(data, H.gbt(TREES, 4), "M1"))
 
 
 @query("model_family_compare")
 def model_family_compare(spark, sf):
-    data = H.training_rows(features(spark, sf), SMALL, [1], FOLDS[:1])
-    return H.model_family_compare(data, {"gbt": H.gbt(ITERATIONS, 4), "random_forest": H.random_forest(5, 5)})
+    data = H.training_rows(features(spark, sf), MORE, values.HORIZONS, FOLDS)
+    return H.model_family_compare(data, {"gbt": H.gbt(TREES, 4), "random_forest": H.random_forest(*FOREST)})
 
 
 @query("spike_classifier")
 def spike_classifier(spark, sf):
-    labelled = E.spike_label(features(spark, sf), "1997-12-31").select("crop", "week_start", "spike", *SMALL)
-    return H.spike_classifier(labelled, SMALL, FOLDS[:1], ITERATIONS)
+    labelled = E.spike_label(features(spark, sf), "1997-12-31").select("crop", "week_start", "spike", *MORE)
+    return H.spike_classifier(labelled, MORE, FOLDS, SPIKE_TREES)
 
 
 def saved_models(spark, sf):
-    rows = materialise(E.with_targets(features(spark, sf), [4]).select(*H.ID, "target", *SMALL))
+    rows = materialise(E.with_targets(features(spark, sf), values.HORIZONS).select(*H.ID, "target", *MORE))
     path = f"{ensure_checkpoint_dir(spark)}/models_{sf.rstrip('/').rsplit('/', 1)[-1]}"
-    return H.fit_final_and_persist(rows, SMALL, path, [4], ITERATIONS)
+    return H.fit_final_and_persist(rows, MORE, path, values.HORIZONS, TREES)
 
 
 def reference_rows(spark, sf):
@@ -83,7 +94,7 @@ def fit_final_and_persist(spark, sf):
 
 @query("batch_score")
 def batch_score(spark, sf):
-    out = H.batch_score(reference_rows(spark, sf), saved_models(spark, sf), SMALL)
+    out = H.batch_score(reference_rows(spark, sf), saved_models(spark, sf), MORE)
     return out.select("crop", "market_id", "horizon_weeks", fx.r("forecast"))
 
 
@@ -106,7 +117,7 @@ def scenario_rows(spark, sf):
 @query("scenario_score")
 def scenario_score(spark, sf):
     models = saved_models(spark, sf)
-    return H.scenario_score(reference_rows(spark, sf), OVERRIDES, lambda rows: H.batch_score(rows, models, SMALL))
+    return H.scenario_score(reference_rows(spark, sf), OVERRIDES, lambda rows: H.batch_score(rows, models, MORE))
 
 
 def closed_form():
@@ -145,18 +156,18 @@ def leave_one_episode_out(spark, sf):
     rows = rows.withColumn("dev", F.col("price") / F.col("price_norm") - 1)
     rows = W.pct_change_k(W.pct_change_k(rows, "price", [4, 8], "price_pct_"), "arrivals", [4], "arrivals_pct_")
     rows = early_warning.episode_labels(rows, EPISODES, "dev", deviation=0.05)
-    return H.leave_one_episode_out(rows, ["price_pct_4", "price_pct_8", "arrivals_pct_4", "dev"], EPISODES, iterations=ITERATIONS)
+    return H.leave_one_episode_out(rows, ["price_pct_4", "price_pct_8", "arrivals_pct_4", "dev"], EPISODES, iterations=EPISODE_TREES)
 
 
 @query("oof_then_residual")
 def oof_then_residual(spark, sf):
-    out = H.oof_then_residual(features(spark, sf), SMALL, MORE, [4], FOLDS[:2], iterations=2)
+    out = H.oof_then_residual(features(spark, sf), PRICE, MORE, values.HORIZONS, FOLDS, iterations=TREES)
     return E.forecast_metrics(out)
 
 
 @query("matched_history_compare")
 def matched_history_compare(spark, sf):
-    return H.matched_history_compare(features(spark, sf), SMALL, [4], FOLDS[:1], "1996-07-01", iterations=2)
+    return H.matched_history_compare(features(spark, sf), MORE, values.HORIZONS, FOLDS, "1996-07-01", iterations=TREES)
 
 
 @query("per_series_arima")
@@ -167,12 +178,12 @@ def per_series_arima(spark, sf):
 
 @query("layer_importance")
 def layer_importance(spark, sf):
-    data = H.training_rows(features(spark, sf), MORE, [4], FOLDS[:1])
+    data = H.training_rows(layered_features(spark, sf), EVERY, values.HORIZONS, FOLDS)
     parts = None
     for crop, horizon, fold in data.cells:
         mine = data.cell(crop, horizon, fold)
-        model = H.gbt(ITERATIONS, 4).fit(mine.where(F.col("split") != "test"))
-        one = H.permutation_importance(mine.where(F.col("split") == "test"), model, MORE)
+        model = H.gbt(TREES, 4).fit(mine.where(F.col("split") != "test"))
+        one = H.permutation_importance(mine.where(F.col("split") == "test"), model, EVERY)
         parts = one if parts is None else parts.unionByName(one)
-    layer_of = {**{f: "price" for f in SMALL}, **{f: "arrivals" for f in X.ARRIVAL_FEATURES}}
+    layer_of = {f: layer for layer, columns in LAYERS.items() for f in columns}
     return A.importance_by_layer(parts, layer_of)

@@ -77,6 +77,12 @@ LEFT JOIN roads r ON r.state = markets.state AND r.year = year(p.week_start)
 LEFT JOIN (SELECT l.crop, l.week_start, 1 AS banned FROM layer l WHERE heat > 0.05) b ON b.crop = p.crop AND b.week_start = p.week_start
 """)
 def layer_joins(spark, sf):
+    out = master_panel(spark, sf)
+    return out.select(*KEYS, "n_orders", fx.r("repo"), fx.r("heat", 6), fx.r("wage"), "n_facilities", "density", "export_banned")
+
+
+def master_panel(spark, sf):
+    """The panel with every layer's columns."""
     panel = fx.panel(spark, sf).join(fx.markets(spark, sf).select("market_id", "state"), "market_id")
     sm = state_month(spark, sf)
     crop_layer = layer(spark, sf)
@@ -85,8 +91,7 @@ def layer_joins(spark, sf):
         sm.groupBy("state", "year", "month").agg(F.avg("price").alias("wage")), storage(spark, sf),
         sm.groupBy("state", "year").agg(F.count(F.lit(1)).alias("density")),
         crop_layer.select("crop", "week_start", (F.col("heat") > 0.05).cast("int").alias("export_banned")))
-    return out.select(*KEYS, "n_orders", fx.r("repo"), fx.r("heat", 6), fx.r("wage"), "n_facilities", "density",
-                      F.coalesce("export_banned", F.lit(0)).alias("export_banned"))
+    return out.withColumn("export_banned", F.coalesce("export_banned", F.lit(0)))
 
 
 @query("price_arrival_inner", """
