@@ -8,6 +8,7 @@ from catalog import fixtures as fx
 from catalog.joins import FOLDS, entities, leaders, predictions, state_month
 from catalog.registry import CTES, query
 from catalog.windows import KEYS, crop_week, layer
+from pricegrid import values
 from pricegrid.operators import aggregates as A
 from pricegrid.operators import evaluation as E
 from pricegrid.operators import joins as J
@@ -491,9 +492,9 @@ SELECT o.crop, h AS horizon_weeks, f, nv, a.observed_price AS y, o.imputed FROM
 
 def live_errors(spark, sf):
     rows = W.benchmark_predictors(fx.logs(spark, sf))
-    rows = P.date_window(rows, "week_start", "2001-01-01", "2001-09-24").where(F.col("moving_average_4").isNotNull() & F.col("log_price").isNotNull())
+    rows = rows.where(F.col("moving_average_4").isNotNull() & F.col("log_price").isNotNull())
     forecasts = rows.select(*KEYS, F.col("imputed").alias("origin_imputed"), F.expm1("moving_average_4").alias("forecast"), F.expm1("log_price").alias("naive"),
-                            F.lit(True).alias("sufficient_history"), F.lit(False).alias("stale_reference"), F.explode(F.array(F.lit(1), F.lit(4))).alias("horizon_weeks"))
+                            F.lit(True).alias("sufficient_history"), F.lit(False).alias("stale_reference"), F.explode(F.array(*map(F.lit, values.HORIZONS))).alias("horizon_weeks"))
     return E.validation_errors(J.forecast_actual_join(forecasts, fx.panel(spark, sf)))
 
 

@@ -255,8 +255,7 @@ def live_forecasts(spark, sf):
     origins = logs.select(
         *KEYS, F.expm1("log_price").alias("forecast"), F.lag("log_price").over(w).isNotNull().alias("sufficient_history"),
         (F.datediff("week_start", seen) >= 21).alias("stale_reference"))
-    origins = P.date_window(origins, "week_start", "2001-01-01", "2001-09-24")
-    forecasts = origins.withColumn("horizon_weeks", F.explode(F.array(F.lit(1), F.lit(4))))
+    forecasts = origins.withColumn("horizon_weeks", F.explode(F.array(*map(F.lit, values.HORIZONS))))
     return J.forecast_actual_join(forecasts, fx.panel(spark, sf))
 
 
