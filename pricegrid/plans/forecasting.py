@@ -245,34 +245,48 @@ def ranked_effects(effects: DataFrame, keys: Sequence[str], joint: str = "joint"
 
 def leave_one_episode_out(rows: DataFrame, features: Sequence[str], episodes: Sequence[tuple[str, str, str]],
                           lookback_weeks: int = 10, iterations: int = 20) -> DataFrame:
-    """Per episode a classifier that never saw it, scored around it: (crop, episode, n, auc, avg_precision).
+    """One row per episode: (crop, episode, score_type, reason, n_scored, n, n_positive, auc, avg_precision).
 
-    ``rows``: crop, week_start, label, episode and features, one row per crop-week. The positive class is
-    weighted by negatives over positives. A crop with a single episode has no held-out test.
+    ``rows``: crop, week_start, label, episode and features, one row per crop-week. The positive class is weighted by
+    negatives over positives. ``held_out``: a classifier that never saw the episode, tested on its weeks and the quiet
+    ones around it; ``n_scored`` also counts the other weeks from three lookbacks before the day to one after it.
+    ``in_sample``: the only episode of its crop, fitted and scored on all weeks; that is no test, so it has no metrics.
+    ``skipped``: the training labels are of one class, as ``reason`` says.
     """
     vectors = materialise(assemble(rows.dropna(subset=list(features)), features).select(
         "crop", "week_start", "label", "episode", "features"))
-    held = [e for e in episodes if sum(o[1] == e[1] for o in episodes) >= 2]
 
-    def run(episode) -> DataFrame | None:
+    def run(episode) -> tuple[tuple, DataFrame | None]:
         name, crop, day = episode
+        alone = sum(o[1] == crop for o in episodes) < 2
         mine = vectors.where(F.col("crop") == crop)
-        train = mine.where(F.col("episode") != name)
+        train = mine if alone else mine.where(F.col("episode") != name)
         n, pos = train.agg(F.count(F.lit(1)), F.sum("label")).first()
         if not pos or pos == n:
-            return None
+            reason = "no training weeks" if not n else f"all training labels are {int(pos > 0)}"
+            return (crop, name, "skipped", reason), None
         weighted = train.withColumn("w", F.when(F.col("label") == 1, (n - pos) / pos).otherwise(1.0))
         model = GBTClassifier(labelCol="label", weightCol="w", maxIter=iterations, maxDepth=4, seed=42).fit(weighted)
         day_col = F.lit(day).cast("date")
-        around = F.col("week_start").between(F.date_sub(day_col, 7 * 4 * lookback_weeks), F.date_add(day_col, 7 * lookback_weeks))
-        test = mine.where((F.col("episode") == name) | (around & (F.col("label") == 0)))
-        return model.transform(test).select(
-            "crop", F.lit(name).alias("episode"), "week_start", "label", vector_to_array("probability")[1].alias("score"))
-
-    scored = [s for s in _each(held, run) if s is not None]
-    if not scored:
-        raise ValueError("no episode can be held out")
-    return I.rank_metrics(reduce(DataFrame.unionByName, scored), ["crop", "episode"], "label", "score")
+        week, end = F.col("week_start"), F.date_add(day_col, 7 * lookback_weeks)
+        around = week.between(F.date_sub(day_col, 7 * 4 * lookback_weeks), end)
+        wide = week.between(F.date_sub(day_col, 7 * 3 * lookback_weeks), end)
+        tested = F.lit(False) if alone else (F.col("episode") == name) | (around & (F.col("label") == 0))
+        scored = model.transform(mine.withColumn("tested", tested).where(F.lit(alone) | F.col("tested") | wide)).select(
+            "crop", F.lit(name).alias("episode"), "tested", "label", vector_to_array("probability")[1].alias("score"))
+        return (crop, name, "in_sample" if alone else "held_out", None), scored
+
+    done = _each(episodes, run)
+    out = rows.sparkSession.createDataFrame([about for about, _ in done], "crop string, episode string, score_type string, reason string")
+    parts = [scored for _, scored in done if scored is not None]
+    if not parts:
+        return out.selectExpr("*", "0L AS n_scored", "CAST(NULL AS BIGINT) AS n", "CAST(NULL AS BIGINT) AS n_positive",
+                              "CAST(NULL AS DOUBLE) AS auc", "CAST(NULL AS DOUBLE) AS avg_precision")
+    keys = ["crop", "episode"]
+    scores = materialise(reduce(DataFrame.unionByName, parts))
+    counts = scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_scored"))
+    metrics = I.rank_metrics(scores.where("tested"), keys, "label", "score")
+    return out.join(counts, keys, "left").join(metrics, keys, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0)))
 
 
 def oof_then_residual(features_df: DataFrame, base: Sequence[str], rich: Sequence[str], horizons: Sequence[int],

@@ -42,3 +42,22 @@ def test_boosting_stops_on_the_validation_rows(spark):
         (F.col("id") % 7).cast("double").alias("x"), F.rand(1).alias("target"), (F.col("id") % 3 == 0).alias("is_validation"))
     fitted = H.gbt(C.TREES, 3).fit(H.assemble(rows, ["x"]))
     assert 1 <= fitted.getNumTrees < 100
+
+
+def test_every_episode_has_a_row(spark):
+    import datetime as dt
+
+    first = dt.date(2018, 1, 1)
+    episodes = [("a1", "A", "2018-12-31"), ("a2", "A", "2019-12-30"), ("n1", "N", "2018-12-31"), ("r1", "R", "2018-12-31"), ("r2", "R", "2019-12-30")]
+    rows = []
+    for crop in "ANR":
+        for i in range(130):
+            week = first + dt.timedelta(weeks=i)
+            name = next((e for e, c, day in episodes if c == crop and e != "r2" and 0 < (dt.date.fromisoformat(day) - week).days <= 56), "")
+            rows.append((crop, week, int(name != ""), name, float(name != "") + i % 5 / 10))
+    df = spark.createDataFrame(rows, "crop string, week_start date, label int, episode string, x double")
+    got = {r.episode: r for r in H.leave_one_episode_out(df, ["x"], episodes, iterations=2).collect()}
+    assert {e: r.score_type for e, r in got.items()} == {"a1": "held_out", "a2": "held_out", "n1": "in_sample", "r1": "skipped", "r2": "held_out"}
+    assert got["r1"].reason == "all training labels are 0" and got["r1"].n_scored == 0
+    assert got["a1"].auc == 1 and got["a1"].n_positive == 8 and got["r2"].auc is None
+    assert got["n1"].n_scored == 130 and got["n1"].auc is None and got["n1"].reason is None
