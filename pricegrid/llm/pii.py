@@ -20,7 +20,8 @@ LABELS = 1 + len(KINDS)
 FIT_DOCS = 2_000
 #: tokens of them at most
 FIT_TOKENS = 60_000
-ROUNDS = 12
+#: messages settle when none changes by more than this; rounds are bounded by the longest document
+SETTLED = 1e-7
 #: a token's label is added when its marginal reaches this
 CERTAIN = 0.95
 #: least log potential of equal labels on a skip edge
@@ -84,8 +85,9 @@ class Tokens:
     """Candidate tokens of several documents: words that hold a digit or @.
 
     ``gap`` marks a token that follows the one before it after a single space: these are chain neighbours. ``twin``
-    is the last earlier token of the same document that is the same or similar (seven digits or more with the same last
-    seven, or the same text but for case and outer punctuation), or -1: these are skip neighbours.
+    is the first token of the same document that is the same or similar (seven digits or more with the same last seven,
+    or the same text but for case and outer punctuation), or -1 at that token itself: these are skip neighbours, so any
+    two mentions are at most two edges apart, whatever their number.
     """
 
     doc: np.ndarray
@@ -121,10 +123,9 @@ def tokens_of(texts: Sequence[tuple[int, str]]) -> Tokens:
                 _close_block(block, features)
                 block = []
             block.append(at)
-            keys = [word.lower()] + ([digits[-7:]] if 7 <= len(digits) <= 19 else [])
-            earlier = max((seen.get(k, -1) for k in keys), default=-1)
-            for k in keys:
-                seen[k] = at
+            # the same word has the same digits, so one key holds all that are the same or similar
+            first = seen.setdefault(digits[-7:] if 7 <= len(digits) <= 19 else word.lower(), at)
+            earlier = first if first != at else -1
             doc.append(d), start.append(a), end.append(b), gap.append(near and len(block) > 1), twin.append(earlier)
             features.append(_features(word, digits))
         _close_block(block, features)
@@ -180,37 +181,64 @@ class SkipChainField:
         offsets = np.concatenate([[0], np.cumsum(GROUPS)[:-1]])
         return self.unary[features + offsets].sum(axis=1) + self.unary[-1]
 
-    def marginals(self, tokens: Tokens, clamp: np.ndarray | None = None, rounds: int = ROUNDS) -> np.ndarray:
+    def marginals(self, tokens: Tokens, clamp: np.ndarray | None = None, rounds: int | None = None) -> np.ndarray:
         """Label probabilities by loopy sum-product messages over chain and skip edges, all documents at once.
 
-        ``clamp`` fixes labels (0: free): tokens of base spans keep theirs and only inform others.
+        ``clamp`` fixes labels (0: free): tokens of base spans keep theirs and only inform others. Messages are sent
+        until they settle. A message moves one edge a round, so ``rounds`` defaults to a bound from the tokens of the
+        longest document; edges of settled documents rest.
         """
         n = len(tokens.doc)
         score = self.scores(tokens.features) if n else np.zeros((0, LABELS))
         if clamp is not None:
             fixed = clamp > 0
-            score[fixed] = -50.0
+            score[fixed] = -1e6  # beyond what any number of neighbours adds up to
             score[fixed, clamp[fixed]] = 0.0
-        chained, twins = np.flatnonzero(tokens.gap), np.flatnonzero(tokens.twin >= 0)
-        left = np.concatenate([chained - 1, tokens.twin[twins]])
+        twin = tokens.twin if clamp is None else _around_labelled(tokens.twin, clamp)
+        chained, twins = np.flatnonzero(tokens.gap), np.flatnonzero(twin >= 0)
+        left = np.concatenate([chained - 1, twin[twins]])
         right = np.concatenate([chained, twins])
         table = np.concatenate([np.repeat(self.chain[None], len(chained), 0), np.repeat(self.skip[None], len(twins), 0)])
         forth, back = np.zeros((len(left), LABELS)), np.zeros((len(left), LABELS))
         belief = score.copy()
-        for _ in range(rounds if len(left) else 0):
-            to_right = _log_sum((belief[left] - back)[:, :, None] + table, 1)
-            to_left = _log_sum((belief[right] - forth)[:, None, :] + table, 2)
+        # documents are numbered anew, so that each one's largest change can be kept by number
+        number = np.unique(tokens.doc, return_inverse=True)[1] if n else np.zeros(0, np.int64)
+        if rounds is None:
+            rounds = 60 + 4 * int(np.bincount(number, minlength=1).max())
+        home = number[right]
+        open_ = np.arange(len(left))
+        for _ in range(rounds):
+            if not len(open_):
+                break
+            a, b = left[open_], right[open_]
+            to_right = _log_sum((belief[a] - back[open_])[:, :, None] + table[open_], 1)
+            to_left = _log_sum((belief[b] - forth[open_])[:, None, :] + table[open_], 2)
             # half of the old message damps oscillation on loops
-            forth = 0.5 * forth + 0.5 * (to_right - to_right.max(axis=1, keepdims=True))
-            back = 0.5 * back + 0.5 * (to_left - to_left.max(axis=1, keepdims=True))
-            belief = score.copy()
-            np.add.at(belief, right, forth)
-            np.add.at(belief, left, back)
+            new_forth = 0.5 * forth[open_] + 0.5 * (to_right - to_right.max(axis=1, keepdims=True))
+            new_back = 0.5 * back[open_] + 0.5 * (to_left - to_left.max(axis=1, keepdims=True))
+            moved_forth, moved_back = new_forth - forth[open_], new_back - back[open_]
+            forth[open_], back[open_] = new_forth, new_back
+            np.add.at(belief, b, moved_forth)
+            np.add.at(belief, a, moved_back)
+            change = np.zeros(len(number) and int(number.max()) + 1)
+            np.maximum.at(change, home[open_], np.maximum(np.abs(moved_forth).max(axis=1), np.abs(moved_back).max(axis=1)))
+            open_ = open_[change[home[open_]] > SETTLED]
         belief -= belief.max(axis=1, keepdims=True, initial=-np.inf) if n else 0
         p = np.exp(belief)
         return p / p.sum(axis=1, keepdims=True) if n else p
 
 
+def _around_labelled(twin: np.ndarray, clamp: np.ndarray) -> np.ndarray:
+    """Ties the mentions to the first labelled one of their group instead of the first, if there is one: then what is
+    fixed reaches every mention directly."""
+    root = np.where(twin >= 0, twin, np.arange(len(twin)))
+    hub = np.arange(len(twin))
+    labelled = np.flatnonzero(clamp > 0)[::-1]
+    hub[root[labelled]] = labelled  # the first one is written last
+    hub = hub[root]
+    return np.where(hub == np.arange(len(twin)), -1, hub)
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)

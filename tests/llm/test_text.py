@@ -66,6 +66,36 @@ def test_a_repeated_token_takes_the_label_of_its_twin():
     assert pii.masked(text, spans) == "Call <PHONE>, later <PHONE> or 17 apples"
 
 
+def _agreeing_field():
+    return pii.SkipChainField(np.zeros((sum(pii.GROUPS) + 1, pii.LABELS)), np.zeros((pii.LABELS, pii.LABELS)), np.eye(pii.LABELS) * pii.AGREE)
+
+
+def test_thirty_repeats_take_the_label_of_one_at_either_end():
+    one, repeats = "+1 (988) 555-2485", " and then ".join(["988-555-2485"] * 30)
+    for text in (f"{one} or {repeats}", f"{repeats} or {one}"):
+        (base, spans), = pii.find_spans([text], _agreeing_field())
+        assert len(base) == 1 and len(spans) == 31 and "988" not in pii.masked(text, spans)
+
+
+def test_thirty_repeats_keep_the_label_against_their_own_look():
+    field = _agreeing_field()
+    field.unary[-1, 0] = 2.0
+    text = " and then ".join(["988-555-2485"] * 30) + " or +1 (988) 555-2485"
+    p = field.marginals(tokens := pii.tokens_of([(0, text)]), pii.labels_of(tokens, {0: pii.base_spans(text)}))
+    assert p[:30].argmax(axis=1).tolist() == [4] * 30
+
+
+def test_messages_settle_along_long_chains():
+    field = pii.SkipChainField(np.zeros((sum(pii.GROUPS) + 1, pii.LABELS)), np.eye(pii.LABELS) * 6, np.zeros((pii.LABELS, pii.LABELS)))
+    tokens = pii.tokens_of([(0, " ".join(str(i) for i in range(10, 50)))])
+    clamp = np.zeros(40, np.int64)
+    clamp[0] = 4
+    step = np.exp(field.chain)
+    step /= step.sum(axis=1, keepdims=True)
+    want = np.eye(pii.LABELS)[4] @ np.linalg.matrix_power(step, 39)
+    assert np.allclose(field.marginals(tokens, clamp)[-1], want, atol=1e-5)
+
+
 def test_detection_on_a_table(spark):
     docs = awkward(spark, [(20, "mail a.b@c.example.com now"), (21, "card 4041894974608795."), (22, "10.0.0.256 and 10.0.0.255")])
     field = pii.fit(docs)
