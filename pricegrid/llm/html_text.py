@@ -18,7 +18,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select "
     "summary table tbody td tfoot th thead title tr ul".split())
-CONTAINERS = frozenset("html body div section center table tbody tr td dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: elements that hold no article text wherever they stand
 NEVER = frozenset(
     "head title script style noscript template nav footer aside form button select textarea menu dialog iframe object "
@@ -187,8 +187,9 @@ def main_text(html: str | None) -> str:
 
     Lines in furniture count as having no text. The ratio of text to tags of each line is smoothed along the page and
     cut at its standard deviation; the lines above form the content cluster. The region is the article (or main)
-    element with most of the cluster's text, further ones with at least half as much, and without such elements the
-    deepest element that holds 80 % of the cluster. All lines of the region that are not furniture are the text.
+    element with most of the cluster's text, further ones with at least half as much, and those beside it that have
+    some of it. Without such elements it is the page, from which lists of links outside the cluster are left out. All
+    lines of the region that are not furniture are the text.
     """
     if not html:
         return ""
@@ -222,12 +223,14 @@ def main_text(html: str | None) -> str:
     def regions(kind: str) -> set[int]:
         found = [e for e in weight if page.kind[e] == kind]
         best = max((spread[e] for e in found), default=0)
-        return {e for e in found if 2 * spread[e] >= best}
+        # an article may be written as several sections
+        beside = {page.parent[e] for e in found if spread[e] == best}
+        return {e for e in found if 2 * spread[e] >= best or spread[e] and page.parent[e] in beside}
 
     region = regions("article") or regions("main")
-    plain = not region
-    if plain:
-        region = {_deepest(page, spread)}
+    if not region:
+        lists = _link_lists(page, cluster.tolist())
+        return "\n".join(t for i, (t, _, dead, _, _) in enumerate(lines) if not dead and i not in lists)
     inside: dict[int, bool] = {-1: False}
 
     def within(at: int) -> bool:
@@ -242,20 +245,49 @@ def main_text(html: str | None) -> str:
             inside[e] = inside[at]
         return inside[at] if not path else inside[path[0]]
 
-    return "\n".join(t for t, _, dead, links, at in lines if not dead and within(at) and not (plain and links >= 0.8))
+    return "\n".join(t for t, _, dead, _, at in lines if not dead and within(at))
 
 
-def _deepest(page: PageEvents, spread: dict[int, int]) -> int:
-    """Walks down from the page while one child holds 80 % of the cluster's text."""
-    children: dict[int, list[int]] = {}
-    for e in spread:
-        children.setdefault(page.parent[e], []).append(e)
-    at = 0
-    while True:
-        heir = max((e for e in children.get(at, []) if page.tag[e] in CONTAINERS), key=lambda e: spread[e], default=None)
-        if heir is None or 10 * spread[heir] < 8 * max(1, spread[0]):
-            return at
-        at = heir
+def _link_lists(page: PageEvents, cluster: list[bool]) -> set[int]:
+    """Numbers of the lines in lists of links outside the text: runs of two lines or more that are mostly links, before
+    the first or after the last line of the cluster, outside the smallest element that holds the whole cluster, and not
+    led by a heading after the text, as sources are."""
+    lines = page.lines
+    held = [i for i, (_, _, dead, links, _) in enumerate(lines) if cluster[i] and not dead and links < 0.8]
+    if not held:
+        return set()
+    home = _common_element(page, {lines[i][4] for i in held})
+    narrow = page.tag[home] not in ("", "html", "body")
+
+    def inside(at: int) -> bool:
+        while at >= 0 and at != home:
+            at = page.parent[at]
+        return at == home
+
+    out: set[int] = set()
+    run: list[int] = []
+    before = None
+    for i, (_, _, dead, links, at) in enumerate([*lines, ("", 0, False, 0.0, 0)]):
+        if dead:
+            continue
+        if links >= 0.8 and not held[0] < i < held[-1] and not (narrow and inside(at)):
+            run.append(i)
+            continue
+        led = before is not None and run and run[0] > held[-1] and page.tag[lines[before][4]] in HEADINGS
+        if len(run) > 1 and not led:
+            out.update(run)
+        run, before = [], i
+    return out
+
+
+def _common_element(page: PageEvents, elements: set[int]) -> int:
+    """The smallest element that holds all of these."""
+    elements = set(elements)
+    while len(elements) > 1:
+        last = max(elements)  # an element has a higher number than the one around it
+        elements.remove(last)
+        elements.add(page.parent[last])
+    return elements.pop()
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,6 +194,23 @@ def test_page_text(frame):
     assert html_text.main_text(PAGE % (frame % TEXT)) == WANT
 
 
+LONG = "A long paragraph of the article that goes on and on, with many words and hardly any tags. " * 12
+
+
+def test_page_without_article_keeps_title_lead_and_links():
+    nav = "<ul><li><a href=x>Home page</a><li><a href=x>Contact form</a><li><a href=x>All topics</a></ul>"
+    sources = "<h2>Sources</h2><ul><li><a href=x>First source</a><li><a href=x>Second source</a></ul>"
+    got = html_text.main_text(f"<body>{nav}<h1>Title</h1><p>Lead</p><p>By</p><p>Day</p><div><p>{LONG}<ul><li><a href=x>Linked item</a></ul><p>{LONG}</div>"
+                              f"<div><p>Short end</p></div>{sources}</body>").split("\n")
+    assert got == ["Title", "Lead", "By", "Day", LONG.strip(), "Linked item", LONG.strip(), "Short end", "Sources", "First source", "Second source"]
+    assert html_text.main_text(f"<body><h1>Title</h1><p>Lead</p><div>{LONG}</div></body>") == f"Title\nLead\n{LONG.strip()}"
+
+
+def test_article_sections_of_any_length():
+    short = "A much shorter section of the same text."
+    assert html_text.main_text(f"<body><article><p>{LONG}</article><article><p>{short}</article></body>") == f"{LONG.strip()}\n{short}"
+
+
 def test_pages_table(spark):
     pages = spark.createDataFrame(
         [(1, "u", PAGE % f"<article>{TEXT}</article>", "x"), (2, None, None, "x"), (None, "u", "", "x"), (3, "u", "<![x[", "x"),
