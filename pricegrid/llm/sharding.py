@@ -15,18 +15,13 @@ from pricegrid.llm.common import numbered, query, read
 CELL_BITS = 17
 
 
-def minimax_cuts(sizes: Sequence[int], shards: int) -> list[int]:
-    """First index of every shard but the first, for the contiguous partition of ``sizes`` into at most ``shards``
-    parts whose largest sum is smallest. A shard that gets nothing starts at ``len(sizes)``.
+def _least_capacity(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
+    """Smallest possible largest sum of ``shards`` contiguous parts, and the ends of the parts of a greedy filling.
 
     Binary search on the capacity; a capacity is checked by filling greedily, each fill a search in the running sums.
     """
-    if shards < 1:
-        raise ValueError("at least one shard")
-    ends = np.cumsum(np.asarray(sizes, dtype=np.int64)) if len(sizes) else np.zeros(0, dtype=np.int64)
-    if not len(ends):
-        return [0] * (shards - 1)
-    total, largest = int(ends[-1]), int(np.max(sizes))
+    ends = np.cumsum(sizes)
+    total, largest = int(ends[-1]), int(sizes.max())
 
     def fill(capacity: int) -> list[int]:
         cuts, done = [], 0
@@ -40,8 +35,42 @@ def minimax_cuts(sizes: Sequence[int], shards: int) -> list[int]:
     while low < high:
         middle = (low + high) // 2
         low, high = (low, middle) if fill(middle) else (middle + 1, high)
-    cuts = fill(low)
-    return (cuts + [len(ends)] * shards)[: shards - 1]
+    return low, fill(low)
+
+
+def minimax_cuts(sizes: Sequence[int], shards: int) -> list[int]:
+    """First index of every shard but the first, for a contiguous partition of ``sizes`` into at most ``shards``
+    parts whose largest sum is smallest. A shard that gets nothing starts at ``len(sizes)``.
+
+    A size that is itself the capacity stands alone, and the other shards are shared out to both sides of it so that
+    the larger capacity of the two is smallest, and so on within them. Shards still left over halve the heaviest parts.
+    """
+    if shards < 1:
+        raise ValueError("at least one shard")
+    sizes = np.asarray(sizes, dtype=np.int64)
+    if not len(sizes):
+        return [0] * (shards - 1)
+    capacity, cuts = _least_capacity(sizes, shards)
+    at, total = int(sizes.argmax()), int(sizes.sum())
+    if shards > 1 and capacity == sizes[at] < total:
+        left, right, rest = sizes[:at], sizes[at + 1:], shards - 1
+        if not left.any():
+            mine = 0
+        elif not right.any():
+            mine = rest
+        else:
+            mine = min(range(1, rest), key=lambda k: max(_least_capacity(left, k)[0], _least_capacity(right, rest - k)[0]))
+        before = minimax_cuts(left, mine) + [at] if mine else []
+        after = [at + 1] + [at + 1 + c for c in minimax_cuts(right, rest - mine)] if mine < rest else []
+        return before + after
+    bounds = [0, *cuts]
+    while 1 < len(bounds) <= shards:
+        parts = [(int(sizes[a:b].sum()), a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if np.count_nonzero(sizes[a:b]) > 1]
+        if not parts:
+            break
+        _, a, b = max(parts)
+        bounds = sorted([*bounds, a + _least_capacity(sizes[a:b], 2)[1][0]])
+    return (bounds[1:] + [len(sizes)] * shards)[: shards - 1]
 
 
 def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

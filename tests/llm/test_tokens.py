@@ -137,6 +137,14 @@ def test_cuts_are_minimax():
         assert max(sum(sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)) == _brute_minimax(sizes, shards)
 
 
+def test_other_shards_are_even_beside_an_oversized_group():
+    sizes = [1] * 300 + [500] + [1] * 700
+    cuts = [0, *sharding.minimax_cuts(sizes, 24), len(sizes)]
+    sums = sorted(sum(sizes[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+    assert len(sums) == 24 and sums[-1] == 500 and 40 <= sums[0] and sums[-2] <= 45
+    assert sharding.minimax_cuts([3, 3, 3, 3], 3) in ([1, 2], [1, 3], [2, 3])
+
+
 def test_shards_of_a_table(spark):
     docs = awkward(spark, [(100 + i, f"text {i} " * 20) for i in range(500)] + [(1000 + i, "copy") for i in range(100)])
     rows = sharding.shard(docs, 7).collect()
