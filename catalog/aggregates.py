@@ -486,8 +486,8 @@ def episode_errors(spark, sf):
 
 
 CTES["live"] = """
-SELECT o.crop, h AS horizon_weeks, f, nv, a.observed_price AS y, o.imputed FROM (SELECT *, unnest([1, 4]) AS h FROM (SELECT crop, market_id, week_start, imputed, exp(ma4) - 1 AS f, exp(log_price) - 1 AS nv FROM bench
-  WHERE week_start BETWEEN DATE '2001-01-01' AND DATE '2001-09-24' AND ma4 IS NOT NULL AND log_price IS NOT NULL)) o JOIN gapfill a ON a.crop = o.crop AND a.market_id = o.market_id AND a.week_start = o.week_start + 7 * h AND a.imputed = 0"""
+SELECT o.crop, h AS horizon_weeks, f, nv, a.observed_price AS y, o.imputed FROM (SELECT *, unnest([1, 4, 13, 26]) AS h FROM (SELECT crop, market_id, week_start, imputed, exp(ma4) - 1 AS f, exp(log_price) - 1 AS nv FROM bench
+  WHERE ma4 IS NOT NULL AND log_price IS NOT NULL)) o JOIN gapfill a ON a.crop = o.crop AND a.market_id = o.market_id AND a.week_start = o.week_start + 7 * h AND a.imputed = 0"""
 
 
 def live_errors(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -17,16 +19,18 @@ from pricegrid.operators import inference as I
 from pricegrid.operators import windows as W
 from pricegrid.plans import features as X
 from pricegrid.plans import forecasting as H
-from pricegrid.session import ensure_checkpoint_dir, materialise
+from pricegrid.plans.boosting import Boosting, Forest
+from pricegrid.session import ensure_checkpoint_dir
 
 PRICE = X.PRICE_FEATURES
 MORE = PRICE + X.ARRIVAL_FEATURES
 LAYERS = {"price": PRICE, "arrivals": X.ARRIVAL_FEATURES, "macro": ["n_orders", "repo", "usdinr", "diesel"], "climate": ["heat", "rain"],
           "satellite": ["ndvi"], "infrastructure": ["wage", "capacity", "n_facilities", "density"], "policy": ["export_banned"]}
 EVERY = [c for columns in LAYERS.values() for c in columns]
-# published maxima; boosting with validation rows stops early
-TREES, SPIKE_TREES, EPISODE_TREES = 1000, 500, 200
-FOREST = (300, 20)
+# published maxima; boosting with validation rows stops 50 trees after the best one
+BOOSTING = Boosting(trees=1000)
+SPIKE_TREES, EPISODE_TREES = 500, 200
+FOREST = Forest(300, 20)
 
 
 def features(spark, sf):
@@ -60,13 +64,13 @@ def layered_feature_sets(spark, sf):
 @query("train_eval_gbt")
 def train_eval_gbt(spark, sf):
     data = H.training_rows(features(spark, sf), MORE, values.HORIZONS, FOLDS)
-    return E.forecast_metrics(H.train_eval(data, H.gbt(TREES, 4), "M1"))
+    return E.forecast_metrics(H.train_eval(data, BOOSTING, "M1"))
 
 
 @query("model_family_compare")
 def model_family_compare(spark, sf):
     data = H.training_rows(features(spark, sf), MORE, values.HORIZONS, FOLDS)
-    return H.model_family_compare(data, {"gbt": H.gbt(TREES, 4), "random_forest": H.random_forest(*FOREST)})
+    return H.model_family_compare(data, {"gbt": BOOSTING, "random_forest": FOREST})
 
 
 @query("spike_classifier")
@@ -75,10 +79,18 @@ def spike_classifier(spark, sf):
     return H.spike_classifier(labelled, MORE, FOLDS, SPIKE_TREES)
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def saved_models(spark, sf):
-    rows = materialise(E.with_targets(features(spark, sf), values.HORIZONS).select(*H.ID, "target", *MORE))
-    path = f"{ensure_checkpoint_dir(spark)}/models_{sf.rstrip('/').rsplit('/', 1)[-1]}"
-    return H.fit_final_and_persist(rows, MORE, path, values.HORIZONS, TREES)
+    """Models of all crops and horizons, fitted once a session and table folder, each time into a folder of its own."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _SAVED:
+        rows = E.with_targets(features(spark, sf), values.HORIZONS).select(*H.ID, "target", *MORE)
+        path = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+        H.fit_final_and_persist(rows, MORE, path, BOOSTING)
+        _SAVED[key] = path
+    return spark.read.parquet(_SAVED[key])
 
 
 def reference_rows(spark, sf):
@@ -87,14 +99,13 @@ def reference_rows(spark, sf):
 
 @query("fit_final_and_persist")
 def fit_final_and_persist(spark, sf):
-    models = saved_models(spark, sf)
-    rows = [(key, H.PipelineModel.load(path).stages[-1].getNumTrees) for key, path in models.items()]
-    return spark.createDataFrame(rows, "model string, n_trees int")
+    return saved_models(spark, sf).select(
+        F.concat_ws("_", "crop", F.concat(F.col("horizon_weeks").cast("string"), F.lit("w"))).alias("model"), "n_trees")
 
 
 @query("batch_score")
 def batch_score(spark, sf):
-    out = H.batch_score(reference_rows(spark, sf), saved_models(spark, sf), MORE)
+    out = H.batch_score(reference_rows(spark, sf), saved_models(spark, sf))
     return out.select("crop", "market_id", "horizon_weeks", fx.r("forecast"))
 
 
@@ -117,7 +128,7 @@ def scenario_rows(spark, sf):
 @query("scenario_score")
 def scenario_score(spark, sf):
     models = saved_models(spark, sf)
-    return H.scenario_score(reference_rows(spark, sf), OVERRIDES, lambda rows: H.batch_score(rows, models, MORE))
+    return H.scenario_score(reference_rows(spark, sf), OVERRIDES, lambda rows: H.batch_score(rows, models))
 
 
 def closed_form():
@@ -161,13 +172,13 @@ def leave_one_episode_out(spark, sf):
 
 @query("oof_then_residual")
 def oof_then_residual(spark, sf):
-    out = H.oof_then_residual(features(spark, sf), PRICE, MORE, values.HORIZONS, FOLDS, iterations=TREES)
+    out = H.oof_then_residual(features(spark, sf), PRICE, MORE, values.HORIZONS, FOLDS, BOOSTING)
     return E.forecast_metrics(out)
 
 
 @query("matched_history_compare")
 def matched_history_compare(spark, sf):
-    return H.matched_history_compare(features(spark, sf), MORE, values.HORIZONS, FOLDS, "1996-07-01", iterations=TREES)
+    return H.matched_history_compare(features(spark, sf), MORE, values.HORIZONS, FOLDS, "1996-07-01", BOOSTING)
 
 
 @query("per_series_arima")
@@ -179,11 +190,6 @@ def per_series_arima(spark, sf):
 @query("layer_importance")
 def layer_importance(spark, sf):
     data = H.training_rows(layered_features(spark, sf), EVERY, values.HORIZONS, FOLDS)
-    parts = None
-    for crop, horizon, fold in data.cells:
-        mine = data.cell(crop, horizon, fold)
-        model = H.gbt(TREES, 4).fit(mine.where(F.col("split") != "test"))
-        one = H.permutation_importance(mine.where(F.col("split") == "test"), model, EVERY)
-        parts = one if parts is None else parts.unionByName(one)
+    parts = H.cell_importance(data, H.fit_cells(data, BOOSTING)).drop("fold")
     layer_of = {f: layer for layer, columns in LAYERS.items() for f in columns}
     return A.importance_by_layer(parts, layer_of)

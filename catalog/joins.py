@@ -238,7 +238,7 @@ def expand_dim_to_members(spark, sf):
 @query("forecast_actual_join", """
 WITH f AS (SELECT crop, market_id, week_start, log_price, imputed, lag(log_price) OVER (PARTITION BY crop, market_id ORDER BY week_start) IS NOT NULL AS ok,
   max(CASE WHEN imputed = 0 THEN week_start END) OVER (PARTITION BY crop, market_id ORDER BY week_start) AS seen FROM logs),
-o AS (SELECT *, unnest([1, 4]) AS h FROM f WHERE week_start BETWEEN DATE '2001-01-01' AND DATE '2001-09-24' AND ok AND week_start - seen < 21)
+o AS (SELECT *, unnest([1, 4, 13, 26]) AS h FROM f WHERE ok AND week_start - seen < 21)
 SELECT o.crop, o.market_id, o.week_start, CAST(h AS INTEGER) AS horizon_weeks, CAST(o.week_start + 7 * h AS DATE) AS target_week, rnd(exp(log_price) - 1, 4) AS forecast, rnd(a.observed_price, 4) AS actual_price
 FROM o JOIN gapfill a ON a.crop = o.crop AND a.market_id = o.market_id AND a.week_start = o.week_start + 7 * h AND a.imputed = 0
 """)

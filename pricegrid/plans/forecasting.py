@@ -1,18 +1,17 @@
-"""Model training, scoring and scenarios on MLlib trees."""
+"""Model training, scoring and scenarios: boosting over all cells at once, MLlib for classifiers."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.classification import GBTClassifier
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from pricegrid.operators import evaluation as E
 from pricegrid.operators import inference as I
 from pricegrid.operators.cleaning import feature_fill_zero
 from pricegrid.operators.joins import oof_residual_join
+from pricegrid.plans import boosting
 from pricegrid.session import materialise, written
 
 ID = ["crop", "market_id", "week_start", "horizon_weeks"]
@@ -37,14 +37,6 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(filled)
 
 
-def gbt(iterations: int = 50, depth: int = 5, seed: int = 42, validation: bool = True, label: str = "target") -> GBTRegressor:
-    """With ``validation``, ``iterations`` is a maximum: boosting ends with the first tree that does not lower the
-    error of the validation rows."""
-    model = GBTRegressor(labelCol=label, maxIter=iterations, maxDepth=depth, stepSize=0.1, subsamplingRate=0.8, seed=seed,
-                         validationTol=0.0)
-    return model.setValidationIndicatorCol("is_validation") if validation else model
-
-
 def random_forest(trees: int = 50, depth: int = 8, seed: int = 42, label: str = "target") -> RandomForestRegressor:
     return RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
 
@@ -55,52 +47,91 @@ def _each(items: Sequence, work: Callable, threads: int = 3) -> list:
         return list(pool.map(work, items))
 
 
+def monotone_signs(features: Sequence[str], levers: Sequence[str] = values.MONOTONE_DOWN_LEVERS) -> list[int]:
+    """-1 for the levers that cannot raise the price, 0 for every other feature."""
+    return [-1 if f in levers else 0 for f in features]
+
+
+def _row_id() -> Column:
+    return F.xxhash64(*ID).alias("rid")
+
+
 @dataclass(frozen=True)
 class TrainingSet:
-    """Vectors written once, not once per fold, as a table partitioned by crop and horizon: the rows of a cell are
-    those of one partition, a fold is a filter on them."""
+    """Features binned and written once, not once per fold, as a table partitioned by crop and horizon; ``cells`` are the
+    (slot, crop, horizon, fold) large enough to fit. A fold is a filter on the rows."""
 
     rows: DataFrame
-    cells: list[tuple[str, int, E.Fold]]
+    columns: list[str]
+    folds: list[E.Fold]
+    cells: list[tuple[int, str, int, int]]
     embargo: bool
     train_floor: str | None
 
-    def cell(self, crop: str, horizon: int, fold: E.Fold) -> DataFrame:
-        split = E.split_of(fold, F.col("horizon_weeks") if self.embargo else 0, self.train_floor)
-        mine = self.rows.where((F.col("crop") == crop) & (F.col("horizon_weeks") == horizon))
-        return mine.withColumns({"fold": F.lit(fold[0]), "split": split}).withColumn(
-            "is_validation", F.col("split") == "validation").where(F.col("split").isNotNull())
+    def splits(self) -> DataFrame:
+        """A row for each cell and split that a row of the table belongs to."""
+        spark = self.rows.sparkSession
+        # one row a cell
+        cells = F.broadcast(spark.createDataFrame(self.cells, "slot int, crop string, horizon_weeks int, fold int"))
+        rows = E.rolling_origin_splits(self.rows, self.folds, F.col("horizon_weeks") if self.embargo else 0, self.train_floor)
+        return rows.join(cells, ["crop", "horizon_weeks", "fold"])
+
+    def at(self, features: Sequence[str]) -> list[int]:
+        return [self.columns.index(f) for f in features]
 
 
 def training_rows(features_df: DataFrame, features: Sequence[str], horizons: Sequence[int], folds: Sequence[E.Fold],
-                  train_floor: str | None = None, embargo: bool = False, vectors: dict[str, Sequence[str]] | None = None) -> TrainingSet:
-    """Rows with targets and assembled vectors, and the (crop, horizon, fold) cells large enough to fit."""
+                  train_floor: str | None = None, embargo: bool = False) -> TrainingSet:
+    """Rows with targets and binned features, and the (crop, horizon, fold) cells large enough to fit."""
     rows = E.with_targets(features_df, horizons)
-    named = vectors or {"features": features}
-    for name, columns in named.items():
-        rows = assemble(rows, columns, name)
-    rows = written(rows.select(*ID, "target", "log_price", *named), "crop", "horizon_weeks")
+    edges = boosting.bin_edges(features_df, features)
+    kept = [*ID, "target", "log_price"]
+    rows = written(boosting.binned(rows, features, edges, kept).withColumn("rid", _row_id()), "crop", "horizon_weeks")
     splits = E.rolling_origin_splits(rows, folds, F.col("horizon_weeks") if embargo else 0, train_floor)
     sizes = E.fold_sizes(splits, ["crop", "horizon_weeks", "fold"]).where("usable").collect()
-    by_number = {f[0]: f for f in folds}
-    cells = sorted((r.crop, r.horizon_weeks, by_number[r.fold]) for r in sizes)
-    return TrainingSet(rows, cells, embargo, train_floor)
+    cells = [(i, *c) for i, c in enumerate(sorted((r.crop, r.horizon_weeks, r.fold) for r in sizes))]
+    return TrainingSet(rows, list(features), list(folds), cells, embargo, train_floor)
 
 
-def train_eval(data: TrainingSet, estimator, variant: str) -> DataFrame:
-    """Fit per (crop, horizon, fold) on train and validation rows, predict the test rows in price units."""
-    def run(cell) -> DataFrame:
-        mine = data.cell(*cell)
-        model = estimator.copy().fit(mine.where(F.col("split") != "test"))
-        return model.transform(mine.where(F.col("split") == "test"))
+def fit_cells(data: TrainingSet, p: boosting.Boosting | boosting.Forest, features: Sequence[str] | None = None) -> DataFrame:
+    """One ensemble a cell from its train rows, stopped on its validation rows; levers are monotone."""
+    features = features or data.columns
+    known = data.splits().where(F.col("split") != "test").select(
+        "slot", "rid", F.col("target").alias("y"), (F.col("split") == "train").alias("training"), "bins")
+    return boosting.fit(known, len(data.columns), p, data.at(features), monotone_signs(features))
+
 
-    scored = reduce(DataFrame.unionByName, _each(data.cells, run))
+def _predictions(scored: DataFrame, variant: str) -> DataFrame:
     return scored.select(F.lit(variant).alias("variant"), "crop", "fold", "horizon_weeks", "market_id", "week_start",
                          F.expm1("target").alias("y_true"), F.expm1("prediction").alias("y_pred"))
 
 
-def model_family_compare(data: TrainingSet, families: dict[str, object]) -> DataFrame:
-    preds = [train_eval(data, estimator, name) for name, estimator in families.items()]
+def train_eval(data: TrainingSet, p: boosting.Boosting | boosting.Forest, variant: str, features: Sequence[str] | None = None) -> DataFrame:
+    """Fit per (crop, horizon, fold) on train and validation rows, predict the test rows in price units.
+
+    Forests are grown cell by cell in a task; the cells too large for one are left to MLlib, on the same binned values.
+    """
+    large: list[int] = []
+    if isinstance(p, boosting.Forest):
+        sizes = data.splits().where(F.col("split") != "test").groupBy("slot").count().collect()
+        large = [r["slot"] for r in sizes if r["count"] * len(features or data.columns) > boosting.CELL_BYTES]
+    small = replace(data, cells=[c for c in data.cells if c[0] not in large]) if large else data
+    tests = small.splits().where(F.col("split") == "test").drop("split")
+    out = _predictions(boosting.score(tests, fit_cells(small, p, features), len(data.columns)), variant)
+    for slot in large:
+        mine = data.splits().where(F.col("slot") == slot).withColumn("features", _vector(data.at(features or data.columns)))
+        model = random_forest(p.trees, p.depth, p.seed).setMinInstancesPerNode(p.min_leaf).setMaxBins(boosting.BINS).fit(mine.where("split = 'train'"))
+        out = out.unionByName(_predictions(model.transform(mine.where("split = 'test'")), variant))
+    return out
+
+
+def _vector(columns: Sequence[int]) -> Column:
+    """Packed codes, all below 128, as an MLlib vector."""
+    return array_to_vector(F.transform(F.array(*map(F.lit, columns)), lambda i: F.ascii(F.substring("bins", i + 1, F.lit(1)).cast("string")).cast("double")))
+
+
+def model_family_compare(data: TrainingSet, families: dict[str, boosting.Boosting | boosting.Forest]) -> DataFrame:
+    preds = [train_eval(data, p, name) for name, p in families.items()]
     return E.fold_mean_summary(E.forecast_metrics(reduce(DataFrame.unionByName, preds)))
 
 
@@ -124,45 +155,48 @@ def spike_classifier(labelled: DataFrame, features: Sequence[str], folds: Sequen
     return I.rank_metrics(scored, ["crop", "fold"], "spike", "score")
 
 
-def fit_final(rows: DataFrame, features: Sequence[str], holdout_weeks: int = 26, iterations: int = 50) -> PipelineModel:
-    """Tree count from early stopping on the last weeks, then a refit on everything."""
-    filled = feature_fill_zero(rows.withColumns({f: F.col(f).cast("double") for f in features}), features)
-    last = filled.agg(F.max("week_start")).scalar()
-    cut = F.date_sub(last, 7 * holdout_weeks)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    probe = assembler.transform(filled.withColumn("is_validation", F.col("week_start") > cut))
-    trees = gbt(iterations).fit(probe).getNumTrees
-    return Pipeline(stages=[assembler, gbt(max(trees, 1), validation=False)]).fit(filled)
-
-
-def fit_final_and_persist(rows: DataFrame, features: Sequence[str], path: str, horizons: Sequence[int],
-                          iterations: int = 50) -> dict[str, str]:
-    """One saved model per crop and horizon: {'crop_hw': path}."""
-    crops = [r.crop for r in rows.select("crop").distinct().collect()]
-
-    def run(cell) -> tuple[str, str]:
-        crop, horizon = cell
-        mine = rows.where((F.col("crop") == crop) & (F.col("horizon_weeks") == horizon))
-        target = f"{path}/{crop}_{horizon}w"
-        fit_final(mine, features, iterations=iterations).write().overwrite().save(target)
-        return f"{crop}_{horizon}w", target
-
-    return dict(_each([(c, h) for c in sorted(crops) for h in horizons], run))
-
-
-def batch_score(rows: DataFrame, models: dict[str, str], features: Sequence[str]) -> DataFrame:
-    """Score every market's row with its crop's model at every horizon; prices, not logs.
+def fit_final(rows: DataFrame, features: Sequence[str], p: boosting.Boosting, holdout_weeks: int = 26) -> DataFrame:
+    """One model per crop and horizon: tree count from early stopping on its last weeks, then a refit on everything.
 
-    The rows are written once by crop, so their features are computed once and a model reads its crop only.
+    ``rows``: ID, target and features. Returns crop, horizon_weeks, slot, n_trees, model, and the features with the cuts
+    they were binned by. Levers are monotone.
     """
-    filled = written(feature_fill_zero(rows.withColumns({f: F.col(f).cast("double") for f in features}), features), "crop")
-    scored = []
-    for key, path in models.items():
-        crop, horizon = key.rsplit("_", 1)
-        mine = PipelineModel.load(path).transform(filled.where(F.col("crop") == crop))
-        scored.append(mine.withColumn("horizon_weeks", F.lit(int(horizon[:-1]))).withColumn(
-            "forecast", F.expm1("prediction")).drop("features", "prediction"))
-    return reduce(DataFrame.unionByName, scored)
+    spark, width = rows.sparkSession, len(features)
+    edges = boosting.bin_edges(rows, features)
+    table = written(boosting.binned(rows, features, edges, [*ID, "target"]).withColumn("rid", _row_id()), "crop", "horizon_weeks")
+    found = table.groupBy("crop", "horizon_weeks").agg(F.max("week_start").alias("last")).orderBy("crop", "horizon_weeks").collect()
+    cells = spark.createDataFrame([(i, *r) for i, r in enumerate(found)], "slot int, crop string, horizon_weeks int, last date")
+    # one row a cell
+    known = table.join(F.broadcast(cells), ["crop", "horizon_weeks"]).select(
+        "slot", "rid", F.col("target").alias("y"), (F.col("week_start") <= F.date_sub("last", 7 * holdout_weeks)).alias("training"), "bins")
+    signs = monotone_signs(features)
+    probe = boosting.fit(known, width, p, signs=signs)
+    trees = {r["slot"]: max(1, r["n_trees"]) for r in probe.select("slot", "n_trees").collect()}
+    models = boosting.fit(known.withColumn("training", F.lit(True)), width, p, signs=signs, most_trees=trees)
+    cuts = spark.createDataFrame(
+        [(crop, list(features), [c.tolist() for c in of]) for crop, of in edges.items()], "crop string, features array<string>, cuts array<array<double>>")
+    return models.join(F.broadcast(cells), "slot").join(F.broadcast(cuts), "crop").select(
+        "crop", "horizon_weeks", "slot", "n_trees", "model", "features", "cuts")
+
+
+def fit_final_and_persist(rows: DataFrame, features: Sequence[str], path: str, p: boosting.Boosting) -> DataFrame:
+    """The models of all crops and horizons, written as one table and read back."""
+    fit_final(rows, features, p).write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def batch_score(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Score every row with its crop's model at every horizon; prices, not logs. One scan for all models: each row is
+    binned once, copied once a horizon, and finds its model by its slot."""
+    cells = models.select("crop", "horizon_weeks", "slot")
+    first = models.groupBy("crop").agg(F.first("features").alias("features"), F.first("cuts").alias("cuts")).collect()
+    features = list(first[0]["features"])
+    edges = {r["crop"]: [np.array(c) for c in r["cuts"]] for r in first}
+    coded = boosting.binned(rows.select("*", *[F.col(f).alias(f"__f{i}") for i, f in enumerate(features)]),
+                            [f"__f{i}" for i in range(len(features))], edges, rows.columns)
+    # one row a crop and horizon
+    scored = boosting.score(coded.join(F.broadcast(cells), "crop"), models, len(features))
+    return scored.withColumn("forecast", F.expm1("prediction")).drop("bins", "slot", "prediction")
 
 
 Override = tuple[str | None, str, str, str, float]
@@ -290,30 +324,27 @@ def leave_one_episode_out(rows: DataFrame, features: Sequence[str], episodes: Se
 
 
 def oof_then_residual(features_df: DataFrame, base: Sequence[str], rich: Sequence[str], horizons: Sequence[int],
-                      folds: Sequence[E.Fold], iterations: int = 10) -> DataFrame:
+                      folds: Sequence[E.Fold], p: boosting.Boosting) -> DataFrame:
     """Two phases over expanding folds.
 
     Phase one predicts each fold's test rows out of fold. Phase two learns the residual of those
-    predictions, on earlier folds only, and is added to phase one.
+    predictions, on earlier folds only, and is added to phase one; it has no validation rows, so it grows all trees.
     """
-    data = training_rows(features_df, base, horizons, folds, vectors={"base_features": base, "rich_features": rich})
-
-    def phase_one(cell) -> DataFrame:
-        mine = data.cell(*cell)
-        model = gbt(iterations).setFeaturesCol("base_features").fit(mine.where(F.col("split") != "test"))
-        return model.transform(mine.where(F.col("split") == "test")).select(*ID, "fold", F.col("prediction").alias("oof_pred"))
-
-    oof = materialise(reduce(DataFrame.unionByName, _each(data.cells, phase_one)))
-    residual = materialise(oof_residual_join(data.rows, oof, ID))
-    first = min(fold[0] for _, _, fold in data.cells)
-
-    def phase_two(cell) -> DataFrame:
-        crop, horizon, fold = cell
-        mine = residual.where((F.col("crop") == crop) & (F.col("horizon_weeks") == horizon))
-        model = gbt(iterations, validation=False, label="residual").setFeaturesCol("rich_features").fit(mine.where(F.col("fold") < fold[0]))
-        return model.transform(mine.where(F.col("fold") == fold[0])).withColumn("combined", F.col("oof_pred") + F.col("prediction"))
-
-    out = reduce(DataFrame.unionByName, _each([c for c in data.cells if c[2][0] > first], phase_two))
+    data = training_rows(features_df, list(dict.fromkeys([*base, *rich])), horizons, folds)
+    width = len(data.columns)
+    tests = data.splits().where(F.col("split") == "test")
+    oof = materialise(boosting.score(tests, fit_cells(data, p, base), width).withColumnRenamed("prediction", "oof_pred").drop("slot", "split"))
+    residual = oof_residual_join(oof.drop("oof_pred"), oof.select(*ID, "fold", "oof_pred"), [*ID, "fold"])
+    first = min(fold for _, _, _, fold in data.cells)
+    later = [(i, c, h, f) for i, (c, h, f) in enumerate(sorted((c, h, f) for _, c, h, f in data.cells if f > first))]
+    # one row a cell
+    cells = F.broadcast(data.rows.sparkSession.createDataFrame(later, "slot int, crop string, horizon_weeks int, later int"))
+    known = residual.join(cells, ["crop", "horizon_weeks"])
+    models = boosting.fit(
+        known.where(F.col("fold") < F.col("later")).select("slot", "rid", F.col("residual").alias("y"), F.lit(True).alias("training"), "bins"),
+        width, p, data.at(rich), monotone_signs(rich))
+    scored = boosting.score(known.where(F.col("fold") == F.col("later")).drop("later"), models, width)
+    out = scored.withColumn("combined", F.col("oof_pred") + F.col("prediction"))
     pairs = F.array(F.struct(F.lit("phase1").alias("variant"), F.col("oof_pred").alias("p")),
                     F.struct(F.lit("combined").alias("variant"), F.col("combined").alias("p")))
     return out.select("crop", "fold", "horizon_weeks", "market_id", "week_start", "target", F.inline(pairs)).select(
@@ -322,11 +353,11 @@ def oof_then_residual(features_df: DataFrame, base: Sequence[str], rich: Sequenc
 
 
 def matched_history_compare(features_df: DataFrame, features: Sequence[str], horizons: Sequence[int], folds: Sequence[E.Fold],
-                            floor: str, iterations: int = 10) -> DataFrame:
+                            floor: str, p: boosting.Boosting) -> DataFrame:
     """Same test rows, training from ``floor`` against the whole history; errors side by side and their gap."""
     preds = []
     for name, start in (("short", floor), ("long", None)):
-        preds.append(train_eval(training_rows(features_df, features, horizons, folds, start), gbt(iterations), name))
+        preds.append(train_eval(training_rows(features_df, features, horizons, folds, start), p, name))
     s = E.fold_mean_summary(E.forecast_metrics(reduce(DataFrame.unionByName, preds), rounded=False), rounded=False)
     pick = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
     wide = s.groupBy("crop", "horizon_weeks").agg(*[
@@ -423,3 +454,21 @@ def permutation_importance(rows: DataFrame, model, features: Sequence[str], keys
     base = F.max(F.when(F.col("feature") == "", F.col("mse"))).over(Window.partitionBy(*keys))
     return mse.withColumn("__base", base).where(F.col("feature") != "").select(
         *keys, "feature", F.greatest(F.col("mse") - F.col("__base"), F.lit(0.0)).alias("importance"))
+
+
+def cell_importance(data: TrainingSet, models: DataFrame, seed: int = 42) -> DataFrame:
+    """(crop, horizon_weeks, fold, feature, importance): rise of the squared error of a cell's test rows when one feature
+    is shuffled. A row takes the feature of its successor in the order of a seeded hash, as in
+    ``permutation_importance``; only trees that split on the feature are walked again, and no row is copied."""
+    tests = data.splits().where(F.col("split") == "test").withColumn(
+        "__h", F.xxhash64("crop", "market_id", "week_start", F.lit(seed)))
+    mixed = _with_successor(
+        tests.select("slot", F.col("target").alias("y"), "__h", "market_id", "week_start", "bins"), ["slot"], ["__h", "market_id", "week_start"], "bins", "other")
+    sums = boosting.swap_errors(mixed, models, len(data.columns)).withColumn("mse", F.col("sse") / F.col("n"))
+    base = F.max(F.when(F.col("feature") == -1, F.col("mse"))).over(Window.partitionBy("slot"))
+    spark = data.rows.sparkSession
+    cells = spark.createDataFrame(data.cells, "slot int, crop string, horizon_weeks int, fold int")
+    names = spark.createDataFrame(list(enumerate(data.columns)), "feature int, name string")
+    return sums.withColumn("base", base).join(F.broadcast(cells), "slot").join(F.broadcast(names), "feature").select(
+        "crop", "horizon_weeks", "fold", F.col("name").alias("feature"),
+        F.greatest(F.col("mse") - F.col("base"), F.lit(0.0)).alias("importance"))
