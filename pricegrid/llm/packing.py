@@ -34,8 +34,9 @@ BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 class WordEncoder:
     """Token ids of a text as little-endian bytes, from the ids of its words.
 
-    The tokenizer lower-cases, and none of its steps looks across white space, so the ids of a text are those of its
-    words in order. ASCII letters are lower-cased before a word is looked up, and a full stop or comma that ends a word
+    Strings of the tokenizer's special tokens are found in the text as it stands and are these tokens. The tokenizer
+    lower-cases what lies between, and none of its steps looks across white space, so the ids are those of the words in
+    order. ASCII letters are lower-cased before a word is looked up, and a full stop or comma that ends a word
     of Latin letters, always a token of its own, is looked up apart. Words of lower-case Latin letters pass the
     tokenizer's first steps unchanged but for the byte alphabet, so its model takes them directly. The cache only
     saves time: it starts anew when it holds ``most`` words, and lives as long as the worker process.
@@ -48,15 +49,29 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most, self.known = most, {}
+        # those as written are cut out of the text; what only becomes one by lower-casing is ordinary text
+        self.tokenizer.encode_special_tokens = True
+        added = {t.content.encode(): i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest_first = sorted(added, key=len, reverse=True)
+        self.special = re.compile(b"(" + b"|".join(map(re.escape, longest_first)) + b")") if added else None
+        # no word begins with a space
+        self.fixed = {b" " + t: np.array([i], dtype="<u4").tobytes() for t, i in added.items()}
+        self.most, self.known = most, dict(self.fixed)
+
+    def words(self, text: bytes) -> list[bytes]:
+        if self.special is None or not self.special.search(text):
+            return self.WORD.findall(text.lower())
+        out = []
+        for i, part in enumerate(self.special.split(text)):
+            out += [b" " + part] if i % 2 else self.WORD.findall(part.lower())
+        return out
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
-        words = [self.WORD.findall(t.lower()) for t in texts]
+        words = [self.words(t) for t in texts]
         new = set().union(*words).difference(self.known)
         if len(self.known) + len(new) > self.most:
-            self.known = {}
-            new = set().union(*words)
+            self.known = dict(self.fixed)
+            new = set().union(*words).difference(self.known)
         rest = []
         tokenize = self.tokenizer.model.tokenize
         for word in new:

@@ -3,6 +3,8 @@ import zlib
 
 import numpy as np
 
+from tokenizers import Tokenizer
+
 from pricegrid.llm import packing, piece_coding, sharding
 from tests.llm.helpers import awkward, none
 
@@ -12,6 +14,17 @@ ODD = ["", "a", "  a  b ", "a\nb\tc", "▁▁a ▁", "🎉x y", "aaaaaaaaaaaa" *
        "it's don't 's.", "end. word, a., É. ÀÉ, x2. ... ,,. x", "İstanbul ß. ŉ", "<|endoftext|> ok", "a b c", "x" * 3000]
 
 
+#: the tokenizer as its file says, with nothing changed
+FRESH = Tokenizer.from_file(BPE)
+
+
+def test_special_strings_are_special_tokens_as_written_only():
+    encoder = packing.WordEncoder(BPE, most=3)
+    for text in ("hi <|endoftext|> there", "<|endoftext|>", "a<|startoftext|>b<|endoftext|><|endoftext|>.", "<|ENDOFTEXT|> x", "<|endoftext| >"):
+        got = np.frombuffer(b"".join(encoder.ids([text.encode()])), "<u4").tolist()
+        assert got == FRESH.encode(text, add_special_tokens=False).ids, text
+
+
 def _texts():
     rnd = random.Random(1)
     return ODD + ["".join(rnd.choice(" abcdetno▁.,\n'inéüÉ日2") for _ in range(rnd.randint(0, 60))) for _ in range(800)]
@@ -22,7 +35,7 @@ def test_word_ids_equal_the_tokenizer():
     texts = _texts()
     found = [b"".join(encoder.ids([t.encode()])) for t in texts]
     for text, ids in zip(texts, found, strict=True):
-        want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        want = FRESH.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, text
 
 
@@ -32,7 +45,6 @@ def test_best_fit_fills_gaps():
 
 
 def _check_packed(rows, docs, capacity):
-    encoder = packing.WordEncoder(BPE)
     pieces, bins = {}, {}
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
@@ -44,7 +56,7 @@ def _check_packed(rows, docs, capacity):
             at += length
         assert at <= capacity
     for i, text in docs.items():
-        ids = encoder.tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        ids = FRESH.encode(text or "", add_special_tokens=False).ids + [0]
         own = sorted(pieces[i], key=lambda r: r.piece)
         assert [r.start for r in own] == list(range(0, len(ids), capacity))
         for r in own:
