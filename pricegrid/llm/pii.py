@@ -159,13 +159,19 @@ def _close_block(block: list[int], features: list[list]) -> None:
 
 
 def labels_of(tokens: Tokens, spans: dict[int, list[Span]]) -> np.ndarray:
-    """Label of each token: the first kind with a span that it overlaps."""
+    """Label of each token: the first kind with a span that it overlaps. Spans of a kind do not overlap each other, so
+    the one to look at is found by bisection; tokens stand by document."""
     out = np.zeros(len(tokens.doc), dtype=np.int64)
-    for i, (d, a, b) in enumerate(zip(tokens.doc.tolist(), tokens.start.tolist(), tokens.end.tolist(), strict=True)):
-        for kind, begin, stop in spans.get(d, ()):
-            if begin < b and a < stop:
-                out[i] = kind + 1
-                break
+    for d, found in spans.items():
+        lo, hi = np.searchsorted(tokens.doc, [d, d + 1])
+        if lo == hi or not found:
+            continue
+        begin, end = tokens.start[lo:hi], tokens.end[lo:hi]
+        for kind in sorted({k for k, _, _ in found}, reverse=True):
+            mine = np.array(sorted((a, b) for k, a, b in found if k == kind))
+            at = np.searchsorted(mine[:, 1], begin, side="right")
+            near = np.minimum(at, len(mine) - 1)
+            out[lo:hi][(at < len(mine)) & (mine[near, 0] < end)] = kind + 1
     return out
 
 
@@ -303,8 +309,9 @@ def _fit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column(1).to_pylist()
         tokens = tokens_of(list(enumerate(texts)))
         labels = labels_of(tokens, {i: base_spans(t) for i, t in enumerate(texts)})
+        ends = np.searchsorted(tokens.doc, np.arange(len(texts) + 1))
         for d in range(len(texts)):
-            own = np.flatnonzero(tokens.doc == d)
+            own = np.arange(ends[d], ends[d + 1])
             if len(own):
                 twin = np.where(tokens.twin[own] >= 0, tokens.twin[own] - own[0], -1)
                 yield pa.RecordBatch.from_arrays(
