@@ -96,7 +96,16 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RUL
     Null, empty and blank texts have no words and fail ``enough_words``. A row is judged alone, so ties and repeated
     rows get equal verdicts, and an empty table gives an empty result. No user function runs anywhere.
     """
-    found = measures(docs, text)
+    judged = _judged(docs, text, rules, base)
+    results = [c for c in judged.columns if c not in ("__row", "__body")]
+    # of columns named like a result the result stays
+    passed = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in results]
+    return judged.select(*passed, *results)
+
+
+def _judged(docs: DataFrame, text: str, rules: Sequence[Rule], base: Sequence[str]) -> DataFrame:
+    """``__row`` (the whole row), ``__body`` (its text) and the results: no name of ``docs`` can clash with a helper's."""
+    found = measures(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__body")), "__body")
     broken = F.array_compact(F.array(*[F.when(~r.holds(), F.lit(r.name)) for r in rules]))
     return found.withColumns({
         "failed": broken,
@@ -106,12 +115,13 @@ def apply_rules(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RUL
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that break no rule, with their columns only, whatever these are called.
+    """The rows of ``docs`` that break no rule, with their columns only, whatever these are called. An empty table gives
+    an empty one.
 
     The row number, which no row fails, keeps the optimiser from moving the filter below the measures, where it would
     repeat every expression as often as later ones use it.
     """
-    judged = apply_rules(docs.select(F.struct("*").alias("__row"), F.col(text).alias("__body")), "__body", rules)
+    judged = _judged(docs, text, rules, BASE)
     kept = judged.withColumn("__at", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__at") >= 0))
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
