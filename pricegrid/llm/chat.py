@@ -97,14 +97,6 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
         "__turns", F.lit(""),
         lambda state, x: F.when(F.try_element_at(steps, F.concat(state, F.lit("\n"), x["role"])).isNull(), F.lit("\n"))
         .otherwise(x["role"]))
-    spans = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<struct<start:int,n_chars:int>>)").alias("found")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["text"])).alias("at"),
-            F.when(x["loss"], F.array_append(s["found"], F.struct(
-                s["at"].alias("start"), F.length(x["text"]).alias("n_chars")))).otherwise(s["found"]).alias("found")),
-        lambda s: s["found"])
     return (
         turns.select(F.col(conv).alias("conv_id"), F.struct(
             F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),
@@ -114,7 +106,36 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv: str =
                 walk.isin(*template.final).alias("valid"),
                 F.flatten(F.transform("__turns", segments)).alias("segments"))
         .withColumn("formatted", F.array_join(F.transform("segments", lambda x: x["text"]), ""))
-        .withColumn("loss_spans", spans))
+        .withColumn("__blocks", _blocks("segments"))
+        .withColumn("__starts", _running(F.transform("__blocks", lambda b: b["length"])))
+        .withColumn("loss_spans", F.flatten(F.zip_with("__blocks", "__starts", lambda b, start: F.transform(
+            b["found"], lambda x: F.struct((start + x["start"]).alias("start"), x["n_chars"].alias("n_chars"))))))
+        .drop("__blocks", "__starts"))
+
+
+#: segments whose spans are found in one sweep; a list that grows by one is copied each time, so sweeps stay short
+BLOCK = 256
+
+
+def _blocks(segments: str) -> Column:
+    """For each run of BLOCK segments its length and the spans of its flagged ones, from its own beginning."""
+    def swept(block: Column) -> Column:
+        return F.aggregate(
+            block, F.struct(F.lit(0).alias("length"), F.expr("CAST(array() AS array<struct<start:int,n_chars:int>>)").alias("found")),
+            lambda s, x: F.struct(
+                (s["length"] + F.length(x["text"])).alias("length"),
+                F.when(x["loss"], F.array_append(s["found"], F.struct(
+                    s["length"].alias("start"), F.length(x["text"]).alias("n_chars")))).otherwise(s["found"]).alias("found")))
+
+    places = F.sequence(F.lit(0), F.floor((F.size(segments) - 1) / BLOCK).cast("int"))
+    return F.transform(places, lambda i: swept(F.slice(segments, i * BLOCK + 1, F.lit(BLOCK))))
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the entries before each one."""
+    return F.aggregate(
+        lengths, F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("found")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["found"], s["at"]).alias("found")), lambda s: s["found"])
 
 
 def _segment(text: Column, loss: Column) -> Column:
