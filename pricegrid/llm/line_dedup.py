@@ -127,12 +127,16 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the lines that ``line_matches`` removes; lines without a word stay, null texts stay null."""
-    gone = line_matches(docs, doc_id, text).where("NOT kept").groupBy(F.col("doc_id").alias("__of")).agg(
-        F.collect_set("line_no").alias("__gone"))
-    numbered = F.transform(F.split(F.col(text), "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
-    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("__gone", x["i"])), lambda x: x["line"])
-    return docs.join(gone, docs[doc_id].eqNullSafe(F.col("__of")), "left").withColumn(
-        text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).drop("__of", "__gone")
+    gone = line_matches(docs, doc_id, text).where("NOT kept").groupBy(F.col("doc_id").alias("of")).agg(
+        F.collect_set("line_no").alias("gone"))
+    # the row as one value: no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"))
+    body = F.col("row").getField(text)
+    numbered = F.transform(F.split(body, "\n"), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    kept = F.transform(F.filter(numbered, lambda x: ~F.array_contains("gone", x["i"])), lambda x: x["line"])
+    left = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
+    joined = rows.join(gone, F.col("id").eqNullSafe(F.col("of")), "left")
+    return joined.select(*[(left if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 SQL = r"""

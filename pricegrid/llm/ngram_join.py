@@ -390,10 +390,14 @@ def jaccard_classes(docs: DataFrame, width: int = 3, threshold: Threshold = Thre
 def drop_near_copies(docs: DataFrame, width: int = 5, threshold: Threshold = Threshold(80, 100),
                      doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those linked, directly or over others, to a row with a smaller id; all columns
-    pass through. Rows with a null id stay unless an equal set has an id."""
+    pass through, whatever their names. Rows with a null id stay unless an equal set has an id. An empty table gives an
+    empty one."""
     gone = jaccard_classes(docs, width, threshold, doc_id, text).where("component_id != doc_id").select(
-        F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id].cast("long") == F.col("__gone"), "left_anti")
+        F.col("doc_id").alias("gone")).distinct()
+    # the row as one value: no name of its columns can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"))
+    left = rows.join(gone, F.col("id") == F.col("gone"), "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 @query("op6_ngram_jaccard_join")
