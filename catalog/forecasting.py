@@ -10,7 +10,7 @@ from catalog import fixtures as fx
 from catalog.cleaning import SEASONS
 from catalog.joins import FOLDS, master_panel
 from catalog.registry import query
-from catalog.windows import EPISODES, KEYS, crop_week
+from catalog.windows import EPISODES, KEYS, crop_week, roll
 from pricegrid import values
 from pricegrid.operators import aggregates as A
 from pricegrid.operators import early_warning
@@ -43,13 +43,33 @@ def layered_features(spark, sf):
     return X.build_features(master_panel(spark, sf), fx.LAST_BASE_YEAR, SEASONS)
 
 
-@query("build_features", """
-SELECT crop, market_id, week_start, rnd(lag(log_price, 8) OVER w, 6) AS price_lag_8, rnd(lag(log_arr, 2) OVER w, 6) AS arr_lag_2, CAST(year(week_start) - 1995 AS INTEGER) AS year_trend,
-  CAST(dense_rank() OVER (PARTITION BY crop ORDER BY market_id) - 1 AS INTEGER) AS market_enc, CAST(dense_rank() OVER (PARTITION BY crop ORDER BY state) - 1 AS INTEGER) AS state_enc
-FROM logs JOIN markets USING (market_id) WINDOW w AS (PARTITION BY crop, market_id ORDER BY week_start)
-""")
+def _feature_sql() -> str:
+    """Every feature column of the panel, written out over the same frames."""
+    over = "OVER (PARTITION BY crop, market_id ORDER BY week_start)"
+    month = "month(week_start)"
+    columns = {f"price_lag_{k}": f"lag(log_price, {k}) {over}" for k in values.PRICE_LAGS}
+    columns |= {f"price_roll_{name}_{n}": roll(fn, "log_price", n)
+                for name, fn in (("mean", "avg"), ("std", "stddev_samp")) for n in values.PRICE_WINDOWS}
+    columns["price_yoy"] = f"lag(log_price, 52) {over}"
+    columns |= {f"{fn}{k}_week": f"{fn}({2 * (k or 1)} * pi() * week(week_start) / 52)" for k in ("", 2) for fn in ("sin", "cos")}
+    columns["log_arr"] = "log_arr"
+    columns |= {f"arr_lag_{k}": f"lag(log_arr, {k}) {over}" for k in values.ARRIVAL_LAGS}
+    columns |= {f"arr_roll_mean_{n}": roll("avg", "log_arr", n) for n in values.ARRIVAL_WINDOWS}
+    whole = {"iso_week": "week(week_start)", "year_trend": f"year(week_start) - {fx.LAST_BASE_YEAR}",
+             "market_enc": "dense_rank() OVER (PARTITION BY crop ORDER BY market_id) - 1",
+             "state_enc": "dense_rank() OVER (PARTITION BY crop ORDER BY state) - 1"}
+    for season in sorted({s for table in SEASONS.values() for s in table}):
+        months = [f"(crop = '{c}' AND {month} IN ({', '.join(map(str, table[season]))}))" for c, table in SEASONS.items() if season in table]
+        whole[f"season_{season}"] = " OR ".join(months)
+    shown = [f"rnd({e}, 6) AS {c}" for c, e in columns.items()] + [f"CAST({e} AS INTEGER) AS {c}" for c, e in whole.items()]
+    return f"SELECT crop, market_id, week_start, {', '.join(shown)} FROM logs JOIN markets USING (market_id)"
+
+
+@query("build_features", _feature_sql())
 def build_features(spark, sf):
-    return features(spark, sf).select(*KEYS, fx.r("price_lag_8", 6), fx.r("arr_lag_2", 6), "year_trend", "market_enc", "state_enc")
+    rows = features(spark, sf)
+    kinds = dict(rows.dtypes)
+    return rows.select(*KEYS, *[fx.r(c, 6) if kinds[c] == "double" else F.col(c).cast("int").alias(c) for c in MORE])
 
 
 @query("layered_feature_sets")

@@ -82,7 +82,10 @@ def sort_output(spark, sf):
     return S.sort_output(fx.weekly(spark, sf).select(*KEYS, P.ARRIVALS, "trading_days"), KEYS)
 
 
-@query("seeded_sample")
+@query("seeded_sample", """
+SELECT crop, market_id, week_start, arrivals_tonnes_week FROM weekly
+QUALIFY row_number() OVER (PARTITION BY crop ORDER BY md5(concat_ws('|', market_id, week_start, 42)), market_id, week_start) <= 500
+""")
 def seeded_sample(spark, sf):
     return S.seeded_sample(fx.weekly(spark, sf).select(*KEYS, P.ARRIVALS), 500, "crop", ["market_id", "week_start"])
 

@@ -49,11 +49,13 @@ def sort_output(df: DataFrame, columns: Sequence[str], total_order: bool = True)
 
 
 def seeded_sample(df: DataFrame, n: int, group: str, ident: Sequence[str], seed: int = 42, salts: int = 64) -> DataFrame:
-    """n rows per group in the order of a seeded hash of the row's identity: the same rows every run.
+    """n rows per group in the order of a seeded hash of the row's identity: the same rows every run. The hash is the MD5
+    of the identity and the seed as text, joined by '|', which any engine can repeat.
 
     Each salted part of a group is cut to n rows first, so no task sorts a whole hot group.
     """
-    drawn = df.withColumn("__draw", F.xxhash64(*ident, F.lit(seed))).withColumn("__salt", F.pmod("__draw", F.lit(salts)))
+    drawn = df.withColumn("__draw", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ident], F.lit(str(seed))))).withColumn(
+        "__salt", F.pmod(F.xxhash64("__draw"), F.lit(salts)))
 
     def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("__draw", *ident)
