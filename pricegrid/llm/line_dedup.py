@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm.common import query, read, words_of
+from pricegrid.llm.common import query, read
 from pricegrid.session import materialise, written
 
 #: hashed cells of the rarity table, one byte each; its size does not depend on the data
-CELL_BITS = 16
+CELL_BITS = 20
 #: lines link when DOWN * intersection >= UP * union of their words
 UP, DOWN = 4, 5
 
@@ -23,19 +23,30 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("line_no", "line"))
 
 
+def _pieces(text: Column) -> Column:
+    """The words of a text, with empty strings where white space meets white space. Plain replacements and a split at
+    one character need no regular expression."""
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.split(text, " ")
+
+
 def _cell(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 64 - CELL_BITS)
+    return F.shiftrightunsigned(token, 64 - CELL_BITS).cast("int")
 
 
 def _rarity(docs: DataFrame, text: str) -> bytes:
     """For each cell the rarity of its most frequent word: 0 for a word that occurs once, then four steps for each
-    doubling of the count. It never ranks a word rarer than it is. The driver gets one number a cell."""
-    words = docs.select(F.explode(words_of(F.lower(F.col(text)))).alias("word"))
-    counts = words.groupBy(F.xxhash64("word").alias("token")).agg(F.count(F.lit(1)).alias("c"))
-    cells = counts.groupBy(_cell(F.col("token")).cast("int").alias("cell")).agg(F.max("c").alias("c"))
+    doubling of the count. It never ranks a word rarer than it is. The driver gets one number for eight cells."""
+    words = docs.select(F.explode(_pieces(F.lower(F.col(text)))).alias("word")).where("word <> ''")
+    counts = words.groupBy(F.xxhash64("word").alias("token")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    cells = counts.groupBy(_cell(F.col("token")).alias("cell")).agg(F.max("c").alias("c"))
+    rank = F.least(F.ceil(4 * F.log2(F.col("c").cast("double"))), F.lit(127))
+    eights = cells.withColumn("rank", rank.cast("long")).groupBy(F.shiftright("cell", 3).alias("eight")).agg(
+        F.sum(F.expr("shiftleft(rank, 8 * (cell & 7))")).alias("ranks"))
     ranks = bytearray(1 << CELL_BITS)
-    for row in cells.select("cell", F.least(F.ceil(4 * F.log2(F.col("c").cast("double"))), F.lit(127)).alias("rank")).collect():
-        ranks[row["cell"]] = row["rank"]
+    for row in eights.toLocalIterator():
+        ranks[8 * row["eight"]:8 * row["eight"] + 8] = row["ranks"].to_bytes(8, "little")
     return bytes(ranks)
 
 
@@ -59,58 +70,52 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
        of a line take part in the join once.
     3. Classes that share one of their rarest tokens (prefix filter), whose sizes allow the threshold (length filter)
        and whose places of the token leave enough of both (positional filter) are candidates. Tokens that occur once
-       are not indexed. Hot tokens are split by adaptive execution.
+       are not indexed. An entry carries the place of its class's first line. Hot tokens are split by adaptive execution.
     4. Candidates are verified on their whole sets, computed again from the texts of these lines only.
     """
     ranks = F.lit(_rarity(docs, text))
     first = F.struct("doc_id", "line_no")
 
-    def ranked(w: Column) -> Column:
-        rank = F.ascii(F.substring(ranks, _cell(F.xxhash64(w)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8))
+    def hashed(line: Column) -> Column:
+        return F.array_distinct(F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w)))
 
-    def tokens(lines: DataFrame) -> DataFrame:
-        return lines.withColumn("tokens", F.array_distinct(F.transform(words_of(F.col("line")), ranked))).drop("line").where(
-            F.size("tokens") > 0)
+    def ranked(h: Column) -> Column:
+        rank = F.ascii(F.substring(ranks, _cell(h) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     once = F.lit(1 << 56)  # tokens below occur in one line only
     length = F.col("n") - F.ceil(F.col("n") * UP / F.lit(DOWN)).cast("int") + 1
     keyed = written(
-        tokens(_lines(docs, doc_id, text))
-        .select("doc_id", "line_no", F.size("tokens").alias("n"), F.sort_array("tokens").alias("sorted"))
+        _lines(docs, doc_id, text)
+        .select("doc_id", "line_no", F.sort_array(F.transform(hashed(F.col("line")), ranked)).alias("sorted"))
+        .withColumn("n", F.size("sorted")).where("n > 0")
         .select("doc_id", "line_no", "n", F.xxhash64("sorted").alias("h1"), F.hash("sorted").alias("h2"),
                 F.slice("sorted", F.lit(1), length).alias("head"))
         .withColumn("prefix", F.filter("head", lambda t: t >= once))
         .withColumn("skipped", F.size("head") - F.size("prefix")).drop("head"))
     # equal sets have equal prefixes
     classes = written(
-        keyed.groupBy("h1", "h2", "n").agg(F.min(first).alias("first"), F.first("prefix").alias("prefix"), F.first("skipped").alias("skipped"))
-        .withColumn("id", F.monotonically_increasing_id()))
+        keyed.groupBy("h1", "h2", "n").agg(F.min(first).alias("first"), F.first("prefix").alias("prefix"), F.first("skipped").alias("skipped")))
 
     postings = classes.select(
-        "id", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
-        "token", "id", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
+        "first", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
+        "token", "first", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
     n_a, n_b = (F.shiftright(c, 32).cast("int") for c in ("a.n_at", "b.n_at"))
     at_a, at_b = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in ("a.n_at", "b.n_at"))
-    pairs = (
-        postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id"))
-                                 & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
-                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b)))
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct())
-    firsts = classes.select("id", "first")
     pairs = materialise(
-        pairs.join(firsts.withColumnsRenamed({"id": "a", "first": "first_a"}), "a")
-        .join(firsts.withColumnsRenamed({"id": "b", "first": "first_b"}), "b")
-        .where(F.col("first_a") != F.col("first_b"))
-        .select(F.least("first_a", "first_b").alias("early"), F.greatest("first_a", "first_b").alias("late")))
+        postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token"))
+                                 & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
+                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
+                                 & (F.col("a.first") < F.col("b.first")))
+        .select(F.col("a.first").alias("early"), F.col("b.first").alias("late")).distinct())
 
     wanted = materialise(
         pairs.select(F.col("early").alias("w")).unionByName(pairs.select(F.col("late").alias("w"))).distinct())
     if wanted.count() <= MOST_LINES:
         wanted = F.broadcast(wanted)
     sets = materialise(
-        tokens(_lines(docs, doc_id, text).join(wanted, first.eqNullSafe(F.col("w")), "left_semi"))
-        .select(first.alias("w"), "tokens").distinct())
+        _lines(docs, doc_id, text).join(wanted, first.eqNullSafe(F.col("w")), "left_semi")
+        .select(first.alias("w"), hashed(F.col("line")).alias("tokens")).where(F.size("tokens") > 0).distinct())
     early, late = sets.alias("early"), sets.alias("late")
     common = F.size(F.array_intersect("early.tokens", "late.tokens"))
     gone = (
