@@ -36,12 +36,11 @@ def _with_words(lines: DataFrame) -> DataFrame:
     return lines.where(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
-def _parity(tokens: Column, half: int) -> Column:
-    """64 bits, each the parity of the tokens that fall on it, over one half of all possible tokens."""
-    def flip(bits: Column, t: Column) -> Column:
-        chosen = F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(1).cast("long")).bitwiseXOR(F.lit(half).cast("long"))
-        return bits.bitwiseXOR(F.call_function("shiftleft", chosen, t.bitwiseAND(F.lit(63).cast("long")).cast("int")))
-    return F.aggregate(tokens, F.lit(0).cast("long"), flip)
+def _parity(tokens: Column) -> Column:
+    """64 bits, each the parity of the number of tokens that fall on it."""
+    one, last = F.lit(1).cast("long"), F.lit(63).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseXOR(
+        F.call_function("shiftleft", one, t.bitwiseAND(last).cast("int"))))
 
 
 def _cell(token: Column) -> Column:
@@ -82,7 +81,7 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     2. Lines with equal sets form a class, known by its first line; all its others are removed at once, so copies
        of a line take part in the join once.
     3. Classes that share one of their rarest tokens (prefix filter), whose sizes allow the threshold (length filter)
-       and whose places of the token leave enough of both (positional filter) are candidates, unless 128 parity bits of
+       and whose places of the token leave enough of both (positional filter) are candidates, unless 64 parity bits of
        their sets differ in more places than linked sets have tokens apart (no true pair is lost to that). Tokens that occur once
        are not indexed. An entry carries the place of its class's first line. Hot tokens are split by adaptive execution.
     4. Candidates are verified on their whole sets, computed again from the texts of these lines only.
@@ -104,28 +103,30 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .select("doc_id", "line_no", F.sort_array(F.transform(hashed(F.col("line")), ranked)).alias("sorted"))
         .withColumn("n", F.size("sorted"))
         .select("doc_id", "line_no", "n", F.xxhash64("sorted").alias("h1"), F.hash("sorted").alias("h2"),
-                _parity(F.col("sorted"), 0).alias("p1"), _parity(F.col("sorted"), 1).alias("p2"),
+                _parity(F.col("sorted")).alias("parity"),
                 F.slice("sorted", F.lit(1), length).alias("head"))
-        .withColumn("prefix", F.filter("head", lambda t: t >= once))
+        # an index entry needs half of a token's bits: others that share them only add candidates
+        .withColumn("prefix", F.transform(F.filter("head", lambda t: t >= once), lambda t: F.hash(t)))
         .withColumn("skipped", F.size("head") - F.size("prefix")).drop("head"))
     # equal sets have equal prefixes
     classes = written(
         keyed.groupBy("h1", "h2", "n").agg(
-            F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("p1", "p2", "prefix", "skipped")]))
+            F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("parity", "prefix", "skipped")]))
 
     postings = classes.select(
-        "first", "p1", "p2", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
-        "token", "first", "p1", "p2", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
+        "first.*", "parity", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
+        "token", "doc_id", "line_no", "parity", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
     n_a, n_b = (F.shiftright(c, 32).cast("int") for c in ("a.n_at", "b.n_at"))
     at_a, at_b = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in ("a.n_at", "b.n_at"))
-    apart = F.bit_count(F.col("a.p1").bitwiseXOR(F.col("b.p1"))) + F.bit_count(F.col("a.p2").bitwiseXOR(F.col("b.p2")))
+    apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
+    first_a, first_b = (F.struct(F.col(f"{c}.doc_id").alias("doc_id"), F.col(f"{c}.line_no").alias("line_no")) for c in "ab")
     pairs = materialise(
         postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token"))
                                  & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
-                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
                                  & (apart <= n_a + n_b - 2 * _overlap(n_a, n_b))
-                                 & (F.col("a.first") < F.col("b.first")))
-        .select(F.col("a.first").alias("early"), F.col("b.first").alias("late")).distinct())
+                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
+                                 & (first_a < first_b))
+        .select(first_a.alias("early"), first_b.alias("late")).distinct())
 
     wanted = materialise(
         pairs.select(F.col("early").alias("w")).unionByName(pairs.select(F.col("late").alias("w"))).distinct())
@@ -136,11 +137,13 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .select(first.alias("w"), hashed(F.col("line")).alias("tokens")).distinct())
     early, late = sets.alias("early"), sets.alias("late")
     common = F.size(F.array_intersect("early.tokens", "late.tokens"))
-    gone = (
+    gone = materialise(
         pairs.alias("p").join(early, F.col("p.early").eqNullSafe(F.col("early.w")))
         .join(late, F.col("p.late").eqNullSafe(F.col("late.w")))
         .where(common >= _overlap(F.size("early.tokens"), F.size("late.tokens")))
         .select(F.col("p.late").alias("first")).distinct().withColumn("gone", F.lit(True)))
+    if gone.count() <= MOST_LINES:
+        gone = F.broadcast(gone)
     judged = classes.select("h1", "h2", "n", "first").join(gone, "first", "left").select(
         "h1", "h2", "n", "first", F.col("gone").isNull().alias("stays"))
     return keyed.select("doc_id", "line_no", "n", "h1", "h2").join(judged, ["h1", "h2", "n"]).select(
