@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from html.parser import HTMLParser
 
 import numpy as np
@@ -33,22 +35,30 @@ FURNITURE = frozenset(
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 #: words in a class or id that name the text itself
 BODY_WORDS = frozenset("article content entry post story body main text".split())
+#: reasons that a page may give for an element that holds its text: a form around everything, a class with a listed word
+SOFT = frozenset(["form", "furniture", "header"])
+LISTS = ("ul", "ol", "menu", "dir")
 NAME = re.compile(r"[A-Za-z0-9]+")
 
 
 class PageEvents(HTMLParser):
     """Turns events into lines: a line is the text between two block boundaries.
 
-    Each line has its text, the number of tags seen since the last one, whether it is furniture, the share of its text
-    in links, and the element that encloses it.
+    Each line has its text, the number of tags seen since the last one, the share of its text in links, and the element
+    that encloses it. ``settle`` decides which elements are furniture. Every event takes constant time, taken over the page.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int]] = []  # tag, number of the enclosing element afterwards
-        self.parent, self.kind, self.dead, self.tag = [-1], [""], [""], [""]  # by element number; 0 is the page
+        self.places: dict[str, list[int]] = defaultdict(list)  # by tag, its places in the stack
+        self.blocks: list[int] = []  # places of the blocks in the stack
+        # by element number; 0 is the page
+        self.parent, self.kind, self.why, self.tag = [-1], [""], [""], [""]
+        self.in_region, self.closed = [False], [False]
+        self.dead = [""]
         self.here = 0
-        self.lines: list[tuple[str, int, bool, float, int]] = []
+        self.lines: list[tuple[str, int, float, int]] = []
         self.buffer: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
@@ -56,23 +66,33 @@ class PageEvents(HTMLParser):
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
-                self.lines.append((text, self.tags, bool(self.dead[self.here]), self.linked / len(text), self.here))
+                self.lines.append((text, self.tags, self.linked / len(text), self.here))
                 self.tags = 0
             self.buffer.clear()
         self.linked = 0
 
+    def _push(self, tag: str) -> None:
+        self.places[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, self.here))
+
     def _pop_to(self, index: int) -> None:
-        del self.stack[index:]
+        while len(self.stack) > index:
+            tag, _ = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
         self.here = self.stack[-1][1] if self.stack else 0
 
+    def _place(self, *tags: str) -> int:
+        """The place of the innermost open element with one of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places[t]), default=-1)
+
     def _close_open_p(self) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            tag = self.stack[i][0]
-            if tag == "p":
-                return self._pop_to(i)
-            if tag in BLOCKS:
-                return None
-        return None
+        at = self._place("p")
+        if at >= 0 and self.blocks[-1] == at:
+            self._pop_to(at)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -84,18 +104,13 @@ class PageEvents(HTMLParser):
         if tag in VOID:
             return
         if tag == "li":
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "li":
-                    self._pop_to(i)
-                    break
-                if self.stack[i][0] in ("ul", "ol", "menu", "dir"):
-                    break
+            at = self._place("li")
+            if at > self._place(*LISTS):
+                self._pop_to(at)
         elif tag == "body":
-            self.stack = [x for x in self.stack if x[0] == "html"]
-            self.here = self.stack[-1][1] if self.stack else 0
+            self._pop_to(self._place("html") + 1)
         elif tag == "a":
             self.in_link = 1
-        dead = self.dead[self.here]
         region, why = "", ""
         if tag in NEVER:
             why = tag
@@ -103,25 +118,50 @@ class PageEvents(HTMLParser):
             region, why = self._judge(tag, attrs)
         if tag in ("article", "main"):
             region = tag
-            if dead and dead != "comments" and not why:
-                dead = ""  # an element before it was left open
-        elif tag == "header" and not self._inside_region():
+        elif tag == "header" and not self.in_region[self.here]:
             why = why or tag
         if region or why or tag in BLOCKS:
             self.parent.append(self.here)
             self.kind.append(region)
-            self.dead.append(dead or why)
+            self.why.append(why)
             self.tag.append(tag)
+            self.in_region.append(bool(region) or self.in_region[self.here])
+            self.closed.append(False)
             self.here = len(self.parent) - 1
-        self.stack.append((tag, self.here))
-
-    def _inside_region(self) -> bool:
-        at = self.here
-        while at > 0:
-            if self.kind[at]:
-                return True
-            at = self.parent[at]
-        return False
+        self._push(tag)
+
+    def settle(self) -> None:
+        """Decide which elements are furniture: those with a reason of their own and all that they hold.
+
+        An article or main element is not, if the element that makes it furniture was never closed. An element with a
+        soft reason is not, if it holds most of the page's text outside links and, when only its class speaks against
+        it, an article, a main element or a first heading.
+        """
+        pardoned: set[int] = set()
+        if any(w in SOFT for w in self.why):
+            self._spread_death({e for e, w in enumerate(self.why) if w in SOFT})
+            text, marks = [0] * len(self.parent), [0] * len(self.parent)
+            for t, _, links, at in self.lines:
+                if not self.dead[at] and links < 0.8:
+                    text[at] += len(t)
+            for e in range(len(self.parent) - 1, 0, -1):
+                marks[e] += self.tag[e] in ("article", "main", "h1")
+                text[self.parent[e]] += text[e]
+                marks[self.parent[e]] += marks[e]
+            pardoned = {e for e, w in enumerate(self.why)
+                        if w in SOFT and 2 * text[e] > text[0] and (w == "form" or marks[e] > (self.tag[e] == "h1"))}
+        self._spread_death(pardoned)
+
+    def _spread_death(self, pardoned: set[int]) -> None:
+        self.dead = [""] * len(self.parent)
+        cause = [0] * len(self.parent)
+        for e in range(1, len(self.parent)):  # an element has a higher number than the one around it
+            around = self.parent[e]
+            own = "" if e in pardoned else self.why[e]
+            dead = self.dead[around]
+            if dead and dead != "comments" and not own and self.tag[e] in ("article", "main") and not self.closed[cause[around]]:
+                dead = ""
+            self.dead[e], cause[e] = dead or own, cause[around] if dead else e
 
     def _judge(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[str, str]:
         region, names = "", []
@@ -143,7 +183,7 @@ class PageEvents(HTMLParser):
             return "", "comments"
         if words & FURNITURE and not words & BODY_WORDS:
             return "", "furniture"
-        if "header" in words and not words & BODY_WORDS and not self._inside_region():
+        if "header" in words and not words & BODY_WORDS and not self.in_region[self.here]:
             return "", "header"
         return region, ""
 
@@ -159,15 +199,14 @@ class PageEvents(HTMLParser):
             self.flush()
         if tag == "a":
             self.in_link = 0
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                return self._pop_to(i)
-            if not block and self.stack[i][0] in BLOCKS:
-                return None
-        return None
+        at = self._place(tag)
+        if at < 0 or not block and self.blocks and self.blocks[-1] > at:
+            return
+        self.closed[self.stack[at][1]] = True
+        self._pop_to(at)
 
     def handle_data(self, data: str) -> None:
-        if self.dead[self.here] in ("script", "style"):
+        if self.tag[self.here] in ("script", "style"):
             return
         self.buffer.append(data)
         if self.in_link:
@@ -186,9 +225,9 @@ def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty when there is none.
 
     Lines in furniture count as having no text. The ratio of text to tags of each line is smoothed along the page and
-    cut at its standard deviation; the lines above form the content cluster. The region is the article (or main)
+    cut at its standard deviation; the lines above form the content cluster. The region is the article
     element with most of the cluster's text, further ones with at least half as much, and those beside it that have
-    some of it. Without such elements it is the page, from which lists of links outside the cluster are left out. All
+    some of it; or the main elements, judged alike, where they hold more than twice as much. Without either it is the page, from which lists of links outside the cluster are left out. All
     lines of the region that are not furniture are the text.
     """
     if not html:
@@ -202,75 +241,70 @@ def main_text(html: str | None) -> str:
         page.feed(html.replace("<![", "&lt;!["))
         page.close()
     page.flush()
-    lines = page.lines
-    if not lines:
+    if not page.lines:
         return ""
+    page.settle()
+    lines = [(t, n, bool(page.dead[at]), links, at) for t, n, links, at in page.lines]
     ratio = smooth(np.array([0.0 if dead else len(t) / max(1, n) for t, n, dead, _, _ in lines]))
     cluster = ratio >= min(ratio.std(), ratio.max())
-    weight: dict[int, int] = {}
-    spread: dict[int, int] = {}
-    for (text, _, dead, links, at), chosen in zip(lines, cluster.tolist(), strict=True):
-        if dead:
-            continue
-        gain = len(text) if chosen and links < 0.8 else 0
-        while at >= 0:
-            spread[at] = spread.get(at, 0) + gain
-            weight[at] = weight.get(at, 0) + len(text)
-            at = page.parent[at]
-    if not spread:
+    if all(dead for _, _, dead, _, _ in lines):
         return ""
-
-    def regions(kind: str) -> set[int]:
-        found = [e for e in weight if page.kind[e] == kind]
+    spread = [0] * len(page.parent)  # text of the cluster that an element holds
+    holds = [False] * len(page.parent)
+    for (text, _, dead, links, at), chosen in zip(lines, cluster.tolist(), strict=True):
+        if not dead:
+            holds[at] = True
+            spread[at] += len(text) if chosen and links < 0.8 else 0
+    for e in range(len(page.parent) - 1, 0, -1):
+        spread[page.parent[e]] += spread[e]
+        holds[page.parent[e]] |= holds[e]
+
+    def regions(kind: str) -> tuple[int, set[int]]:
+        found = [e for e, k in enumerate(page.kind) if k == kind and holds[e]]
         best = max((spread[e] for e in found), default=0)
         # an article may be written as several sections
         beside = {page.parent[e] for e in found if spread[e] == best}
-        return {e for e in found if 2 * spread[e] >= best or spread[e] and page.parent[e] in beside}
-
-    region = regions("article") or regions("main")
+        region = {e for e in found if 2 * spread[e] >= best or spread[e] and page.parent[e] in beside}
+        inside = _under(page, region)
+        outer = [e for e in region if not inside[page.parent[e]]]
+        return sum(spread[e] for e in outer), region
+
+    (held, region), (held_by_main, mains) = regions("article"), regions("main")
+    if not region or held_by_main > 2 * held:
+        region = mains
     if not region:
-        lists = _link_lists(page, cluster.tolist())
+        lists = _link_lists(page, lines, cluster.tolist())
         return "\n".join(t for i, (t, _, dead, _, _) in enumerate(lines) if not dead and i not in lists)
-    inside: dict[int, bool] = {-1: False}
+    within = _under(page, region)
+    return "\n".join(t for t, _, dead, _, at in lines if not dead and within[at])
 
-    def within(at: int) -> bool:
-        path = []
-        while at not in inside:
-            path.append(at)
-            if at in region:
-                inside[at] = True
-                break
-            at = page.parent[at]
-        for e in path:
-            inside[e] = inside[at]
-        return inside[at] if not path else inside[path[0]]
 
-    return "\n".join(t for t, _, dead, _, at in lines if not dead and within(at))
+def _under(page: PageEvents, roots: set[int]) -> list[bool]:
+    """For each element whether it is one of these or inside one."""
+    found = [0 in roots]
+    for e in range(1, len(page.parent)):
+        found.append(e in roots or found[page.parent[e]])
+    return found
 
 
-def _link_lists(page: PageEvents, cluster: list[bool]) -> set[int]:
+def _link_lists(page: PageEvents, lines: list[tuple[str, int, bool, float, int]], cluster: list[bool]) -> set[int]:
     """Numbers of the lines in lists of links outside the text: runs of two lines or more that are mostly links, before
     the first or after the last line of the cluster, outside the smallest element that holds the whole cluster, and not
     led by a heading after the text, as sources are."""
-    lines = page.lines
     held = [i for i, (_, _, dead, links, _) in enumerate(lines) if cluster[i] and not dead and links < 0.8]
     if not held:
         return set()
     home = _common_element(page, {lines[i][4] for i in held})
     narrow = page.tag[home] not in ("", "html", "body")
 
-    def inside(at: int) -> bool:
-        while at >= 0 and at != home:
-            at = page.parent[at]
-        return at == home
-
+    inside = _under(page, {home})
     out: set[int] = set()
     run: list[int] = []
     before = None
     for i, (_, _, dead, links, at) in enumerate([*lines, ("", 0, False, 0.0, 0)]):
         if dead:
             continue
-        if links >= 0.8 and not held[0] < i < held[-1] and not (narrow and inside(at)):
+        if links >= 0.8 and not held[0] < i < held[-1] and not (narrow and inside[at]):
             run.append(i)
             continue
         led = before is not None and run and run[0] > held[-1] and page.tag[lines[before][4]] in HEADINGS
@@ -282,12 +316,15 @@ def _link_lists(page: PageEvents, cluster: list[bool]) -> set[int]:
 
 def _common_element(page: PageEvents, elements: set[int]) -> int:
     """The smallest element that holds all of these."""
-    elements = set(elements)
-    while len(elements) > 1:
-        last = max(elements)  # an element has a higher number than the one around it
-        elements.remove(last)
-        elements.add(page.parent[last])
-    return elements.pop()
+    left = [-e for e in elements]
+    heapify(left)
+    while True:
+        last = -heappop(left)  # an element has a higher number than the one around it
+        while left and left[0] == -last:
+            heappop(left)
+        if not left:
+            return last
+        heappush(left, -page.parent[last])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

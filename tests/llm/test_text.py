@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -220,3 +221,34 @@ def test_pages_table(spark):
     assert found[1] == (WANT, len(WANT)) and found[2] == found[None] == found[5] == ("", 0) and found[4] == ("deep", 4)
     assert html_text.extract_text(pages.limit(0)).count() == 0
     assert len(BASE) > 100
+
+
+LEDE = "The long text of the page goes on, and on, with many words in it. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form><h1>T</h1><p>{0}</p></form></body>",
+    "<body><form><div>Name<input></div><div role=main><h1>T</h1><p>{0}</p></div></body>",
+    "<body><main><h1>T</h1><p>{0}</p></main><article>Other story one</article><article>teaser two</article></body>",
+    "<body><main><h1>T</h1><p>{0}</p><aside><article>Other story one words</article></aside></main></body>",
+    "<body><div class=modal-open><h1>T</h1><p>{0}</p></div></body>",
+    "<body><nav>Home<article><h1>T</h1><p>{0}</p></article></body>",
+    "<body><main><article><h1>T</h1><p>{0}</p></article><p>More to read</p></main></body>",
+])
+def test_html_region_holds_most_of_the_text(page):
+    got = html_text.main_text(page.format(LEDE)).split("\n")
+    assert got[-2:] == ["T", LEDE.strip()] and len(got) - 2 <= page.count("Name")
+
+
+def test_html_sign_up_forms_stay_out():
+    page = f"<body><h1>T</h1><p>{LEDE}</p><form><p>Sign up to our letter</p></form><div class=cookie-notice><p>We use cookies</p></div></body>"
+    assert html_text.main_text(page) == f"T\n{LEDE.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>words here " * 40_000, "<i>" * 40_000 + "<hr>" * 40_000 + "end", "<b><div>" + "<i>" * 40_000 + "</b>" * 40_000 + "end",
+    "<div>" * 40_000 + "<li>x</li>" * 40_000])
+def test_html_time_grows_in_proportion(page):
+    began = time.perf_counter()
+    assert html_text.main_text(page)
+    assert time.perf_counter() - began < 20
