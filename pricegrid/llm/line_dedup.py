@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricegrid.llm.common import query, read
+from pricegrid.llm.common import query, read, shuffles_removed_after_use
 from pricegrid.session import materialise, written
 
 #: hashed cells of the rarity table, one byte each; its size does not depend on the data
-CELL_BITS = 20
+CELL_BITS = 22
 #: lines link when DOWN * intersection >= UP * union of their words
 UP, DOWN = 4, 5
 
@@ -57,7 +57,7 @@ def _rarity(docs: DataFrame, text: str) -> bytes:
     eights = cells.withColumn("rank", rank.cast("long")).groupBy(F.shiftright("cell", 3).alias("eight")).agg(
         F.sum(F.expr("shiftleft(rank, 8 * (cell & 7))")).alias("ranks"))
     ranks = bytearray(1 << CELL_BITS)
-    for row in eights.toLocalIterator():
+    for row in eights.collect():
         ranks[8 * row["eight"]:8 * row["eight"] + 8] = row["ranks"].to_bytes(8, "little")
     return bytes(ranks)
 
@@ -86,6 +86,18 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
        are not indexed. An entry carries the place of its class's first line. Hot tokens are split by adaptive execution.
     4. Candidates are verified on their whole sets, computed again from the texts of these lines only.
     """
+    with shuffles_removed_after_use(docs.sparkSession):
+        keyed, classes, gone = _judge(docs, doc_id, text)
+    first = F.struct("doc_id", "line_no")
+    judged = classes.select("h1", "h2", "n", "first").join(gone, "first", "left").select(
+        "h1", "h2", "n", "first", F.col("gone").isNull().alias("stays"))
+    return keyed.select("doc_id", "line_no", "n", "h1", "h2").join(judged, ["h1", "h2", "n"]).select(
+        "doc_id", "line_no", F.col("n").alias("n_tokens"),
+        (F.col("stays") & first.eqNullSafe(F.col("first"))).alias("kept"))
+
+
+def _judge(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines with the key of their set, the classes of equal sets, and the first lines of the classes that go."""
     ranks = F.lit(_rarity(docs, text))
     first = F.struct("doc_id", "line_no")
 
@@ -144,11 +156,7 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .select(F.col("p.late").alias("first")).distinct().withColumn("gone", F.lit(True)))
     if gone.count() <= MOST_LINES:
         gone = F.broadcast(gone)
-    judged = classes.select("h1", "h2", "n", "first").join(gone, "first", "left").select(
-        "h1", "h2", "n", "first", F.col("gone").isNull().alias("stays"))
-    return keyed.select("doc_id", "line_no", "n", "h1", "h2").join(judged, ["h1", "h2", "n"]).select(
-        "doc_id", "line_no", F.col("n").alias("n_tokens"),
-        (F.col("stays") & first.eqNullSafe(F.col("first"))).alias("kept"))
+    return keyed, classes, gone
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
