@@ -9,7 +9,7 @@ from pricegrid.llm.common import query, read, shuffles_removed_after_use
 from pricegrid.session import materialise, written
 
 #: hashed cells of the rarity table, one byte each; its size does not depend on the data
-CELL_BITS = 22
+CELL_BITS = 20
 #: lines link when DOWN * intersection >= UP * union of their words
 UP, DOWN = 4, 5
 
