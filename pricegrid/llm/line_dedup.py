@@ -17,6 +17,11 @@ UP, DOWN = 4, 5
 #: lines up to this number are broadcast (id and number each) to pick out those whose sets are compared
 MOST_LINES = 1_000_000
 
+#: leaders of the classes of one size in a long list, and the fewest classes that get one
+LEADERS, LEAST_LED = 4, 4
+#: rarity from which a token's list is taken for long: 32 occurrences
+HOT_RANK = 20
+
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(
@@ -84,7 +89,10 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
        and whose places of the token leave enough of both (positional filter) are candidates, unless 64 parity bits of
        their sets differ in more places than linked sets have tokens apart (no true pair is lost to that). Tokens that occur once
        are not indexed. An entry carries the place of its class's first line. Hot tokens are split by adaptive execution.
-    4. Candidates are verified on their whole sets, computed again from the texts of these lines only.
+    4. Long lists are first compared with a few leaders each. A class that links with an earlier leader is gone and
+       asks no further, so a large group of near copies costs pairs in proportion to its size; it stays in the lists as
+       an earlier line for others. All other classes are then compared with every earlier entry of their lists.
+    5. Candidates are verified on their whole sets, computed again from the texts of these lines only.
     """
     with shuffles_removed_after_use(docs.sparkSession):
         keyed, classes, gone = _judge(docs, doc_id, text)
@@ -101,62 +109,119 @@ def _judge(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     ranks = F.lit(_rarity(docs, text))
     first = F.struct("doc_id", "line_no")
 
-    def hashed(line: Column) -> Column:
-        return F.array_distinct(F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w)))
-
     def ranked(h: Column) -> Column:
         rank = F.ascii(F.substring(ranks, _cell(h) + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    once = F.lit(1 << 56)  # tokens below occur in one line only
+    once, hot = F.lit(1 << 56), F.lit(HOT_RANK << 56)  # tokens below the first occur in one line only
     length = F.col("n") - F.ceil(F.col("n") * UP / F.lit(DOWN)).cast("int") + 1
     keyed = written(
         _with_words(_lines(docs, doc_id, text))
-        .select("doc_id", "line_no", F.sort_array(F.transform(hashed(F.col("line")), ranked)).alias("sorted"))
+        .select("doc_id", "line_no", F.sort_array(F.transform(_hashed(F.col("line")), ranked)).alias("sorted"))
         .withColumn("n", F.size("sorted"))
         .select("doc_id", "line_no", "n", F.xxhash64("sorted").alias("h1"), F.hash("sorted").alias("h2"),
                 _parity(F.col("sorted")).alias("parity"),
                 F.slice("sorted", F.lit(1), length).alias("head"))
         # an index entry needs half of a token's bits: others that share them only add candidates
         .withColumn("prefix", F.transform(F.filter("head", lambda t: t >= once), lambda t: F.hash(t)))
-        .withColumn("skipped", F.size("head") - F.size("prefix")).drop("head"))
+        .withColumn("skipped", F.size("head") - F.size("prefix"))
+        .withColumn("n_hot", F.size(F.filter("head", lambda t: t >= hot))).drop("head"))
     # equal sets have equal prefixes
     classes = written(
         keyed.groupBy("h1", "h2", "n").agg(
-            F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("parity", "prefix", "skipped")]))
-
-    postings = classes.select(
-        "first.*", "parity", F.posexplode("prefix").alias("i", "token"), F.shiftleft(F.col("n").cast("long"), 32).alias("size"), "skipped").select(
-        "token", "doc_id", "line_no", "parity", (F.col("size") + F.col("i") + F.col("skipped")).alias("n_at"))
-    n_a, n_b = (F.shiftright(c, 32).cast("int") for c in ("a.n_at", "b.n_at"))
-    at_a, at_b = (F.col(c).bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in ("a.n_at", "b.n_at"))
-    apart = F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity")))
-    first_a, first_b = (F.struct(F.col(f"{c}.doc_id").alias("doc_id"), F.col(f"{c}.line_no").alias("line_no")) for c in "ab")
-    pairs = materialise(
-        postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token"))
-                                 & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
-                                 & (apart <= n_a + n_b - 2 * _overlap(n_a, n_b))
-                                 & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
-                                 & (first_a < first_b))
-        .select(first_a.alias("early"), first_b.alias("late")).distinct())
+            F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("parity", "prefix", "skipped", "n_hot")]))
+
+    led = _verified(docs, doc_id, text, _leader_pairs(classes))
+    rest = _verified(docs, doc_id, text, _pairs(classes, led))
+    gone = materialise(led.unionByName(rest))
+    return keyed, classes, _small(gone)
+
+
+def _hashed(line: Column) -> Column:
+    return F.array_distinct(F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w)))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """To be broadcast when counted to be few."""
+    return F.broadcast(rows) if rows.count() <= MOST_LINES else rows
+
 
+def _postings(classes: DataFrame) -> DataFrame:
+    """Index entries: the token, the place of the class's first line, and size and place of the token in ``n_at``. A
+    shut entry can be the earlier line of a pair, not the later one: its ``n_at`` is inverted, so negative."""
+    n_at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i") + F.col("skipped")
+    return classes.select("first.*", "parity", "n", "skipped", "n_hot", "shut", F.size("prefix").alias("of"),
+                          F.posexplode("prefix").alias("i", "token")).select(
+        "token", "doc_id", "line_no", "parity",
+        F.when(F.col("shut"), F.bitwise_not(n_at)).otherwise(n_at).alias("n_at"),
+        (F.col("of") - F.col("i") <= F.col("n_hot")).alias("hot"))
+
+
+def _place(entry: str) -> Column:
+    return F.struct(F.col(f"{entry}.doc_id").alias("doc_id"), F.col(f"{entry}.line_no").alias("line_no"))
+
+
+def _near(a: str, b: str) -> Column:
+    """The filters of length, place and parity for an earlier entry ``a`` and a later one ``b`` that is not shut. The
+    condition on ``b`` names ``a`` too: pushed down to one side, it would cost a second shuffle of the entries."""
+    n_at_a, n_at_b = (F.greatest(F.col(f"{c}.n_at"), F.bitwise_not(f"{c}.n_at")) for c in (a, b))
+    n_a, n_b = (F.shiftright(c, 32).cast("int") for c in (n_at_a, n_at_b))
+    at_a, at_b = (c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in (n_at_a, n_at_b))
+    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
+    return ((DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
+            & (apart <= n_a + n_b - 2 * _overlap(n_a, n_b))
+            & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
+            & (F.least(n_at_a, F.col(f"{b}.n_at")) >= 0)
+            & (_place(a) < _place(b)))
+
+
+def _leader_pairs(classes: DataFrame) -> DataFrame:
+    """Candidates of a class with the leaders of its long lists only.
+
+    Classes of one size in the list of a frequent token are dealt into LEADERS parts by hash; the first class of a
+    part that holds LEAST_LED or more leads. Their number per list is fixed, so the pairs grow with the entries.
+    """
+    hot = _postings(classes.withColumn("shut", F.lit(False))).where("hot").drop("hot").withColumn(
+        "size", F.shiftright("n_at", 32))
+    part = F.pmod(F.hash("doc_id", "line_no"), F.lit(LEADERS))
+    leaders = materialise(
+        hot.groupBy("token", "size", part.alias("part"))
+        .agg(F.min(F.struct("doc_id", "line_no", "parity", "n_at")).alias("a"), F.count(F.lit(1)).alias("led"))
+        .where(F.col("led") >= LEAST_LED).select(F.col("token").alias("of"), F.col("size").alias("of_size"), "a"))
+    return materialise(
+        hot.alias("b").join(_small(leaders), (F.col("token") == F.col("of")) & (F.col("size") == F.col("of_size")) & _near("a", "b"))
+        .select(_place("a").alias("early"), _place("b").alias("late")).distinct())
+
+
+def _pairs(classes: DataFrame, gone: DataFrame) -> DataFrame:
+    """All candidates whose later class is not ``gone`` already."""
+    marked = classes.join(_small(gone), "first", "left").withColumn("shut", F.col("gone").isNotNull())
+    postings = _postings(marked).drop("hot")
+    return materialise(
+        postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & _near("a", "b"))
+        .select(_place("a").alias("early"), _place("b").alias("late")).distinct())
+
+
+def _verified(docs: DataFrame, doc_id: str, text: str, pairs: DataFrame) -> DataFrame:
+    """The later lines of the pairs whose whole sets link. Only texts that hold a line of a pair are cut into lines."""
     wanted = materialise(
         pairs.select(F.col("early").alias("w")).unionByName(pairs.select(F.col("late").alias("w"))).distinct())
+    holders = wanted.select(F.col("w.doc_id").alias("holder")).distinct()
     if wanted.count() <= MOST_LINES:
-        wanted = F.broadcast(wanted)
+        wanted, holders = F.broadcast(wanted), F.broadcast(holders)
+    place = F.struct("doc_id", "line_no")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")).join(
+        holders, F.col("id").eqNullSafe(F.col("holder")), "left_semi")
     sets = materialise(
-        _with_words(_lines(docs, doc_id, text)).join(wanted, first.eqNullSafe(F.col("w")), "left_semi")
-        .select(first.alias("w"), hashed(F.col("line")).alias("tokens")).distinct())
+        _with_words(_lines(texts, "id", "body")).join(wanted, place.eqNullSafe(F.col("w")), "left_semi")
+        .select(place.alias("w"), _hashed(F.col("line")).alias("tokens")).distinct())
     early, late = sets.alias("early"), sets.alias("late")
     common = F.size(F.array_intersect("early.tokens", "late.tokens"))
-    gone = materialise(
+    return materialise(
         pairs.alias("p").join(early, F.col("p.early").eqNullSafe(F.col("early.w")))
         .join(late, F.col("p.late").eqNullSafe(F.col("late.w")))
         .where(common >= _overlap(F.size("early.tokens"), F.size("late.tokens")))
         .select(F.col("p.late").alias("first")).distinct().withColumn("gone", F.lit(True)))
-    if gone.count() <= MOST_LINES:
-        gone = F.broadcast(gone)
-    return keyed, classes, gone
 
 
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -99,6 +100,28 @@ def test_line_dedup_against_all_pairs(spark):
     assert {(r.doc_id, r.line_no): r.kept for r in found} == _line_truth(docs)
 
 
+def test_line_dedup_of_a_large_group_of_near_copies(spark):
+    """A family of 300 lines with up to four changed words of 24, and lines that share words with it only."""
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(24)]
+    lines = []
+    for i in range(300):
+        line = list(words)
+        for at in rnd.sample(range(24), i % 5):
+            line[at] = f"x{rnd.randrange(40)}"
+        lines.append(" ".join(line))
+    lines += [" ".join(rnd.sample(words, 12) + [f"z{i}y{k}" for k in range(10)]) for i in range(20)]
+    docs = [(i, "\n".join(lines[4 * i:4 * i + 4])) for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_matches(frame).collect()}
+    assert found == _line_truth(docs)
+    _, classes, _ = line_dedup._judge(frame, "doc_id", "text")
+    led = line_dedup._verified(frame, "doc_id", "text", line_dedup._leader_pairs(classes))
+    nobody = led.where("false")
+    every, left = (line_dedup._pairs(classes, gone).count() for gone in (nobody, led))
+    assert 0 < led.count() and left < every / 3
+
+
 def test_line_dedup_awkward_rows(spark):
     docs = awkward(spark)
     found = line_dedup.line_matches(docs)
