@@ -17,7 +17,7 @@ UP, DOWN = 4, 5
 #: lines up to this number are broadcast (id and number each) to pick out those whose sets are compared
 MOST_LINES = 1_000_000
 
-#: leaders of the classes of one size in a long list, and the fewest classes that get one
+#: leaders of the classes of like size in a long list, and the fewest classes that get one
 LEADERS, LEAST_LED = 4, 4
 #: rarity from which a token's list is taken for long: 32 occurrences
 HOT_RANK = 20
@@ -178,11 +178,11 @@ def _near(a: str, b: str) -> Column:
 def _leader_pairs(classes: DataFrame) -> DataFrame:
     """Candidates of a class with the leaders of its long lists only.
 
-    Classes of one size in the list of a frequent token are dealt into LEADERS parts by hash; the first class of a
-    part that holds LEAST_LED or more leads. Their number per list is fixed, so the pairs grow with the entries.
+    Classes of like size (up to a quarter more) in the list of a frequent token are dealt into LEADERS parts by hash; the
+    first class of a part that holds LEAST_LED or more leads. Their number per list is fixed, so the pairs grow with the entries.
     """
     hot = _postings(classes.withColumn("shut", F.lit(False))).where("hot").drop("hot").withColumn(
-        "size", F.shiftright("n_at", 32))
+        "size", F.floor(3 * F.log2(F.shiftright("n_at", 32).cast("double"))).cast("int"))
     part = F.pmod(F.hash("doc_id", "line_no"), F.lit(LEADERS))
     leaders = materialise(
         hot.groupBy("token", "size", part.alias("part"))
