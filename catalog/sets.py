@@ -41,7 +41,7 @@ def common_weeks(spark, sf):
 SELECT crop, market_id, week_start FROM grid EXCEPT ALL SELECT crop, market_id, week_start FROM weekly
 """)
 def set_difference(spark, sf):
-    return S.set_difference(fx.grid(spark, sf).select(*KEYS), fx.weekly(spark, sf))
+    return S.set_difference(fx.grid(spark, sf).select(*KEYS), fx.weekly(spark, sf), P.grid_rows(fx.clean(spark, sf), "arrival_date"))
 
 
 @query("index_intersection", """

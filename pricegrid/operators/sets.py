@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pricegrid.functions.sizes import hashed
+
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
@@ -23,9 +25,16 @@ def dedupe_keys(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return first.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in rest])
 
 
-def set_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of left that right lacks, duplicates kept."""
-    return left.exceptAll(right.select(*left.columns))
+def set_difference(left: DataFrame, right: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of left that right lacks, duplicates kept. With ``rows``, about how many left has, they are compared in as many
+    tasks as that needs."""
+    right = right.select(*left.columns)
+    if rows is None:
+        return left.exceptAll(right)
+    names = left.columns
+    both = left.withColumn("__n", F.lit(1)).union(right.withColumn("__n", F.lit(-1)))
+    left_over = hashed(both, names, rows).groupBy(*names).agg(F.sum("__n").alias("__n")).where(F.col("__n") > 0)
+    return left_over.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("__n").cast("int"))).alias("__one")).drop("__one")
 
 
 def missing_names(listed: Sequence[str], df: DataFrame) -> list[str]:

@@ -108,3 +108,41 @@ def test_features_of_same_named_markets_do_not_mix(spark):
 
     out = W.lags(both, P.PRICE, "lag_", [1]).orderBy("market_id", "week_start")
     assert [r.lag_1 for r in out.collect()] == [None, 1, 2, None, 100, 200]
+
+
+def test_a_large_grid_gets_tasks_by_its_rows(spark, monkeypatch):
+    from pricegrid.functions import sizes
+
+    days = spark.range(2000).selectExpr("IF(id % 3 = 0, 'onion', 'potato') AS crop", "id % 20 AS market_id", "date_add(DATE '2020-01-06', CAST(id % 700 AS INT)) AS arrival_date",
+                                        "CAST(100 + id % 9 AS DOUBLE) AS modal_price_rs_per_quintal", "1.0D AS total_arrivals_tonnes")
+    bounds = {"onion": (1.0, 1000.0), "potato": (1.0, 1000.0)}
+    key = ("crop", "market_id", "week_start")
+    small = P.build_panel(days, bounds).orderBy(*key).collect()
+    monkeypatch.setattr(sizes, "ROWS_PER_TASK", 100)
+    large = P.build_panel(days, bounds)
+    # 40 keys of 100 weeks; nothing after that shuffles the grid anew
+    assert large.rdd.getNumPartitions() >= 36
+    assert large.orderBy(*key).collect() == small
+
+
+def test_last_weeks_of_the_records_end_the_grid(spark):
+    days = spark.createDataFrame([("a", 1, "2020-01-07"), ("a", 2, "2020-01-29"), (None, 3, "2020-02-05"), (None, 4, "2020-02-20")],
+                                 "crop string, market_id long, day string").select(
+        "crop", "market_id", F.to_date("day").alias("arrival_date"), F.lit(5.0).alias("modal_price_rs_per_quintal"), F.lit(1.0).alias("total_arrivals_tonnes"))
+    weekly = P.weekly_weighted_mean(days)
+    order = ("market_id", "week_start")
+    given = P.complete_grid(weekly, ends=P.last_weeks(days)).orderBy(*order).collect()
+    assert given == P.complete_grid(weekly).orderBy(*order).collect()
+    assert len(given) == 4 + 1 + 3 + 1
+
+
+def test_set_difference_in_named_tasks_keeps_duplicates_and_nulls(spark, monkeypatch):
+    from pricegrid.functions import sizes
+    from pricegrid.operators import sets as S
+
+    left = spark.createDataFrame([(1, "x"), (1, "x"), (1, "x"), (None, "y"), (None, "y"), (2, None)], "a int, b string")
+    right = spark.createDataFrame([(1, "x"), (None, "y"), (3, "z")], "a int, b string")
+    plain = sorted(map(str, S.set_difference(left, right).collect()))
+    monkeypatch.setattr(sizes, "ROWS_PER_TASK", 1)
+    out = S.set_difference(left, right, 30)
+    assert out.rdd.getNumPartitions() == 30 and sorted(map(str, out.collect())) == plain and len(plain) == 4
