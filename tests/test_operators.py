@@ -257,3 +257,19 @@ def test_tables_are_written_per_crop(spark, tmp_path):
     df = spark.createDataFrame([("onion", 1, 2.0), ("potato", 2, 3.0)], "crop string, market_id long, x double")
     writers.write_table(df, str(tmp_path / "t"))
     assert (tmp_path / "t" / "crop=onion").is_dir() and spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_validation_summary_computes_the_errors_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    data = [("a", 1, float(i), 2.0, 10.0, 11.0, i % 2) for i in range(40)]
+    errors = spark.createDataFrame(data, "crop string, horizon_weeks int, e double, ape_naive double, forecast double, actual_price double, imputed int")
+    errors = errors.withColumn("ape_model", counted("e"))
+    out = {r.subset: r for r in E.validation_summary(errors, ["crop", "horizon_weeks"], F.col("imputed") == 0).collect()}
+    assert seen.value == 40
+    assert (out["all"].n_rows, out["all"].median_ape_model, out["clean"].n_rows, out["clean"].median_ape_model) == (40, 19.5, 20, 19.0)
