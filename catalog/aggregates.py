@@ -19,7 +19,7 @@ PQ = "modal_price_rs_per_quintal"
 
 
 def named_panel(spark, sf):
-    return fx.panel(spark, sf).join(fx.markets(spark, sf).select("market_id", "state"), "market_id")
+    return fx.panel(spark, sf).join(fx.states(spark, sf), "market_id")
 
 
 @query("weekly_weighted_mean", """

@@ -146,3 +146,20 @@ def test_set_difference_in_named_tasks_keeps_duplicates_and_nulls(spark, monkeyp
     monkeypatch.setattr(sizes, "ROWS_PER_TASK", 1)
     out = S.set_difference(left, right, 30)
     assert out.rdd.getNumPartitions() == 30 and sorted(map(str, out.collect())) == plain and len(plain) == 4
+
+
+def test_features_stay_in_the_tasks_of_the_grid(spark, monkeypatch):
+    from catalog import forecasting
+    from pricegrid.functions import sizes
+
+    monkeypatch.setattr(sizes, "ROWS_PER_TASK", 500)
+    # estimates of joined tables grow with both of them, so only measured sides are broadcast
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        grid = forecasting.fx.panel(spark, "/root/testdata/sf0.001").rdd.getNumPartitions()
+        assert grid > 8
+        for rows in (forecasting.features, forecasting.layered_features):
+            assert rows(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == grid
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
