@@ -19,8 +19,14 @@ MOST_LINES = 1_000_000
 
 #: leaders of the classes of like size in a long list, and the fewest classes that get one
 LEADERS, LEAST_LED = 4, 4
-#: rarity from which a token's list is taken for long: 32 occurrences
+#: rarity from which a token's list is taken for long: 32 occurrences in its cell
 HOT_RANK = 20
+#: long lists in which a class looks for leaders: those of its rarest hot tokens
+LED_BY = 3
+#: tokens from which a set has 128 parity bits instead of 64
+WIDE_FROM = 80
+#: bit of an index entry that is shut, above the place of the token
+SHUT = 1 << 31
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -29,11 +35,12 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _pieces(text: Column) -> Column:
-    """The words of a text, with empty strings where white space meets white space. Plain replacements and a split at
-    one character need no regular expression."""
-    for space in "\t\n\x0b\x0c\r":
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.split(text, " ")
+    """The words of a text without line feeds, with empty strings where white space meets white space. Splits at one
+    character need no regular expression. Replacing is dear: it is for texts that hold such a character."""
+    plain, odd = text, F.lit(False)
+    for space in "\t\x0b\x0c\r":
+        plain, odd = F.replace(plain, F.lit(space), F.lit(" ")), odd | F.contains(text, F.lit(space))
+    return F.split(F.when(odd, plain).otherwise(text), " ")
 
 
 def _with_words(lines: DataFrame) -> DataFrame:
@@ -48,16 +55,21 @@ def _parity(tokens: Column) -> Column:
         F.call_function("shiftleft", one, t.bitwiseAND(last).cast("int"))))
 
 
+def _half_parity(tokens: Column) -> Column:
+    """The parity bits of about half of the tokens; with those of all tokens they make 128 bits."""
+    return _parity(F.filter(tokens, lambda t: t.bitwiseAND(F.lit(64).cast("long")) != 0))
+
+
 def _cell(token: Column) -> Column:
     return F.shiftrightunsigned(token, 64 - CELL_BITS).cast("int")
 
 
 def _rarity(docs: DataFrame, text: str) -> bytes:
-    """For each cell the rarity of its most frequent word: 0 for a word that occurs once, then four steps for each
-    doubling of the count. It never ranks a word rarer than it is. The driver gets one number for eight cells."""
-    words = docs.select(F.explode(_pieces(F.lower(F.col(text)))).alias("word")).where("word <> ''")
-    counts = words.groupBy(F.xxhash64("word").alias("token")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cells = counts.groupBy(_cell(F.col("token")).alias("cell")).agg(F.max("c").alias("c"))
+    """For each cell the rarity of its words: 0 for a word that occurs once, then four steps for each doubling of the
+    count of all. It never ranks a word rarer than it is. The driver gets one number for eight cells."""
+    bodies = docs.select(F.array_join(F.split(F.lower(F.col(text)), "\n"), " ").alias("body"))
+    words = bodies.select(F.explode(_pieces(F.col("body"))).alias("word")).where("word <> ''")
+    cells = words.groupBy(_cell(F.xxhash64("word")).alias("cell")).agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     rank = F.least(F.ceil(4 * F.log2(F.col("c").cast("double"))), F.lit(127))
     eights = cells.withColumn("rank", rank.cast("long")).groupBy(F.shiftright("cell", 3).alias("eight")).agg(
         F.sum(F.expr("shiftleft(rank, 8 * (cell & 7))")).alias("ranks"))
@@ -86,12 +98,13 @@ def line_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     2. Lines with equal sets form a class, known by its first line; all its others are removed at once, so copies
        of a line take part in the join once.
     3. Classes that share one of their rarest tokens (prefix filter), whose sizes allow the threshold (length filter)
-       and whose places of the token leave enough of both (positional filter) are candidates, unless 64 parity bits of
-       their sets differ in more places than linked sets have tokens apart (no true pair is lost to that). Tokens that occur once
+       and whose places of the token leave enough of both (positional filter) are candidates, unless 64 parity bits (128 of
+       long sets) differ in more places than linked sets have tokens apart (no true pair is lost to that). Tokens that occur once
        are not indexed. An entry carries the place of its class's first line. Hot tokens are split by adaptive execution.
-    4. Long lists are first compared with a few leaders each. A class that links with an earlier leader is gone and
-       asks no further, so a large group of near copies costs pairs in proportion to its size; it stays in the lists as
-       an earlier line for others. All other classes are then compared with every earlier entry of their lists.
+    4. Long lists are first compared with a few leaders each, a class in a few of its lists. A class that links with an
+       earlier leader is gone and asks no further, so a large group of near copies costs pairs in proportion to its size; it
+       stays in the lists as an earlier line for others. All other classes are then compared with every earlier entry of all
+       their lists.
     5. Candidates are verified on their whole sets, computed again from the texts of these lines only.
     """
     with shuffles_removed_after_use(docs.sparkSession):
@@ -121,6 +134,7 @@ def _judge(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
         .withColumn("n", F.size("sorted"))
         .select("doc_id", "line_no", "n", F.xxhash64("sorted").alias("h1"), F.hash("sorted").alias("h2"),
                 _parity(F.col("sorted")).alias("parity"),
+                F.when(F.col("n") >= WIDE_FROM, _half_parity(F.col("sorted"))).alias("half"),
                 F.slice("sorted", F.lit(1), length).alias("head"))
         # an index entry needs half of a token's bits: others that share them only add candidates
         .withColumn("prefix", F.transform(F.filter("head", lambda t: t >= once), lambda t: F.hash(t)))
@@ -129,7 +143,8 @@ def _judge(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
     # equal sets have equal prefixes
     classes = written(
         keyed.groupBy("h1", "h2", "n").agg(
-            F.min(first).alias("first"), *[F.first(c).alias(c) for c in ("parity", "prefix", "skipped", "n_hot")]))
+            F.min(first).alias("first"),
+            *[F.first(c).alias(c) for c in ("parity", "half", "prefix", "skipped", "n_hot")]))
 
     led = _verified(docs, doc_id, text, _leader_pairs(classes))
     rest = _verified(docs, doc_id, text, _pairs(classes, led))
@@ -138,7 +153,7 @@ def _judge(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFram
 
 
 def _hashed(line: Column) -> Column:
-    return F.array_distinct(F.transform(F.array_remove(_pieces(line), ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(_pieces(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _small(rows: DataFrame) -> DataFrame:
@@ -146,15 +161,14 @@ def _small(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= MOST_LINES else rows
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """Index entries: the token, the place of the class's first line, and size and place of the token in ``n_at``. A
-    shut entry can be the earlier line of a pair, not the later one: its ``n_at`` is inverted, so negative."""
-    n_at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("i") + F.col("skipped")
-    return classes.select("first.*", "parity", "n", "skipped", "n_hot", "shut", F.size("prefix").alias("of"),
-                          F.posexplode("prefix").alias("i", "token")).select(
-        "token", "doc_id", "line_no", "parity",
-        F.when(F.col("shut"), F.bitwise_not(n_at)).otherwise(n_at).alias("n_at"),
-        (F.col("of") - F.col("i") <= F.col("n_hot")).alias("hot"))
+def _postings(classes: DataFrame, tokens: Column, before: Column) -> DataFrame:
+    """Index entries of ``tokens``, which stand after ``before`` others of the prefix: the token, the place of the class's
+    first line, and size and place of the token in ``n_at``. A shut entry can be the earlier line of a pair, not the later
+    one: its place is beyond any size."""
+    at = F.col("i") + F.col("before") + F.when(F.col("shut"), F.lit(SHUT)).otherwise(F.lit(0).cast("long"))
+    return classes.select("first.*", "parity", "half", "n", "shut", (F.col("skipped") + before).alias("before"),
+                          F.posexplode(tokens).alias("i", "token")).select(
+        "token", "doc_id", "line_no", "parity", "half", (F.shiftleft(F.col("n").cast("long"), 32) + at).alias("n_at"))
 
 
 def _place(entry: str) -> Column:
@@ -162,16 +176,17 @@ def _place(entry: str) -> Column:
 
 
 def _near(a: str, b: str) -> Column:
-    """The filters of length, place and parity for an earlier entry ``a`` and a later one ``b`` that is not shut. The
-    condition on ``b`` names ``a`` too: pushed down to one side, it would cost a second shuffle of the entries."""
-    n_at_a, n_at_b = (F.greatest(F.col(f"{c}.n_at"), F.bitwise_not(f"{c}.n_at")) for c in (a, b))
-    n_a, n_b = (F.shiftright(c, 32).cast("int") for c in (n_at_a, n_at_b))
-    at_a, at_b = (c.bitwiseAND(F.lit((1 << 32) - 1)).cast("int") for c in (n_at_a, n_at_b))
-    apart = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return ((DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
-            & (apart <= n_a + n_b - 2 * _overlap(n_a, n_b))
+    """The filters of length, place and parity for an earlier entry ``a`` and a later one ``b`` that is not shut, the
+    cheapest first. No condition is on one of them only: pushed down, it would cost a second shuffle of the entries."""
+    n_a, n_b = (F.shiftright(f"{c}.n_at", 32).cast("int") for c in (a, b))
+    at_a, at_b = (F.col(f"{c}.n_at").bitwiseAND(F.lit(most)) for c, most in ((a, SHUT - 1), (b, 2 * SHUT - 1)))
+    bits, half = (F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")) for c in ("parity", "half"))
+    most_apart = n_a + n_b - 2 * _overlap(n_a, n_b)
+    return (((UP + DOWN) * F.bit_count(bits) <= (DOWN - UP) * (n_a + n_b))
+            & (DOWN * F.least(n_a, n_b) >= UP * F.greatest(n_a, n_b))
             & (F.least(n_a - at_a, n_b - at_b) >= _overlap(n_a, n_b))
-            & (F.least(n_at_a, F.col(f"{b}.n_at")) >= 0)
+            & (F.bit_count(bits) <= most_apart)
+            & F.coalesce(F.bit_count(half) + F.bit_count(bits.bitwiseXOR(half)) <= most_apart, F.lit(True))
             & (_place(a) < _place(b)))
 
 
@@ -181,12 +196,14 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
     Classes of like size (up to a quarter more) in the list of a frequent token are dealt into LEADERS parts by hash; the
     first class of a part that holds LEAST_LED or more leads. Their number per list is fixed, so the pairs grow with the entries.
     """
-    hot = _postings(classes.withColumn("shut", F.lit(False))).where("hot").drop("hot").withColumn(
+    colder = F.size("prefix") - F.col("n_hot")
+    hot = _postings(
+        classes.where("n_hot > 0").withColumn("shut", F.lit(False)), F.slice("prefix", colder + 1, F.lit(LED_BY)), colder).withColumn(
         "size", F.floor(3 * F.log2(F.shiftright("n_at", 32).cast("double"))).cast("int"))
     part = F.pmod(F.hash("doc_id", "line_no"), F.lit(LEADERS))
     leaders = materialise(
         hot.groupBy("token", "size", part.alias("part"))
-        .agg(F.min(F.struct("doc_id", "line_no", "parity", "n_at")).alias("a"), F.count(F.lit(1)).alias("led"))
+        .agg(F.min(F.struct("doc_id", "line_no", "parity", "half", "n_at")).alias("a"), F.count(F.lit(1)).alias("led"))
         .where(F.col("led") >= LEAST_LED).select(F.col("token").alias("of"), F.col("size").alias("of_size"), "a"))
     return materialise(
         hot.alias("b").join(_small(leaders), (F.col("token") == F.col("of")) & (F.col("size") == F.col("of_size")) & _near("a", "b"))
@@ -196,7 +213,7 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
 def _pairs(classes: DataFrame, gone: DataFrame) -> DataFrame:
     """All candidates whose later class is not ``gone`` already."""
     marked = classes.join(_small(gone), "first", "left").withColumn("shut", F.col("gone").isNotNull())
-    postings = _postings(marked).drop("hot")
+    postings = _postings(marked, F.col("prefix"), F.lit(0))
     return materialise(
         postings.alias("a").join(postings.alias("b"), (F.col("a.token") == F.col("b.token")) & _near("a", "b"))
         .select(_place("a").alias("early"), _place("b").alias("late")).distinct())

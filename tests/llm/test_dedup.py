@@ -122,6 +122,21 @@ def test_line_dedup_of_a_large_group_of_near_copies(spark):
     assert 0 < led.count() and left < every / 3
 
 
+def test_line_dedup_of_long_lines_that_share_words_only(spark):
+    """64 parity bits cannot tell sets of 150 words apart; candidates must not grow with the pairs of such lines."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(1000)]
+    lines = [rnd.sample(words, 150) for _ in range(60)]
+    lines += [line[:k] + ["new"] * (k < 150) for line in lines[:5] for k in (78, 140, 149)]
+    docs = [(i, " ".join(line)) for i, line in enumerate(lines)]
+    docs += [(100, "w1\tw2\x0bw3  w4\rw5\x0c"), (101, "w1 w2 w3 W4 w5"), (102, "\t\x0c \r")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r.doc_id, r.line_no): r.kept for r in line_dedup.line_matches(frame).collect()}
+    assert found == _line_truth(docs)
+    _, classes, gone = line_dedup._judge(frame, "doc_id", "text")
+    assert line_dedup._pairs(classes, gone.where("false")).count() < 40
+
+
 def test_line_dedup_awkward_rows(spark):
     docs = awkward(spark)
     found = line_dedup.line_matches(docs)
