@@ -22,7 +22,7 @@ LEADERS, LEAST_LED = 4, 4
 #: rarity from which a token's list is taken for long: 32 occurrences in its cell
 HOT_RANK = 20
 #: long lists in which a class looks for leaders: those of its rarest hot tokens
-LED_BY = 3
+LED_BY = 8
 #: tokens from which a set has 128 parity bits instead of 64
 WIDE_FROM = 80
 #: bit of an index entry that is shut, above the place of the token
@@ -197,8 +197,10 @@ def _leader_pairs(classes: DataFrame) -> DataFrame:
     first class of a part that holds LEAST_LED or more leads. Their number per list is fixed, so the pairs grow with the entries.
     """
     colder = F.size("prefix") - F.col("n_hot")
-    hot = _postings(
-        classes.where("n_hot > 0").withColumn("shut", F.lit(False)), F.slice("prefix", colder + 1, F.lit(LED_BY)), colder).withColumn(
+    # sets of one size find each other by the first of these tokens only
+    most = F.col("n") - _overlap(F.col("n"), F.col("n")) + 1 - F.col("skipped") - colder
+    led_by = F.slice("prefix", colder + 1, F.least(F.greatest(most, F.lit(0)), F.lit(LED_BY)))
+    hot = _postings(classes.where("n_hot > 0").withColumn("shut", F.lit(False)), led_by, colder).withColumn(
         "size", F.floor(3 * F.log2(F.shiftright("n_at", 32).cast("double"))).cast("int"))
     part = F.pmod(F.hash("doc_id", "line_no"), F.lit(LEADERS))
     leaders = materialise(
