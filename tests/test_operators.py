@@ -273,3 +273,39 @@ def test_validation_summary_computes_the_errors_once(spark):
     out = {r.subset: r for r in E.validation_summary(errors, ["crop", "horizon_weeks"], F.col("imputed") == 0).collect()}
     assert seen.value == 40
     assert (out["all"].n_rows, out["all"].median_ape_model, out["clean"].n_rows, out["clean"].median_ape_model) == (40, 19.5, 20, 19.0)
+
+
+def test_actuals_meet_forecasts_where_the_panel_lies(spark):
+    panel = spark.range(400).selectExpr("CAST(id % 4 AS STRING) AS crop", "id % 20 AS market_id", "date_add(DATE '2020-01-06', CAST(7 * (id div 20) AS INT)) AS week_start",
+                                        "0 AS imputed", "CAST(id AS DOUBLE) AS modal_price_weighted").repartition(7, "crop", "market_id")
+    forecasts = panel.selectExpr("crop", "market_id", "week_start", "modal_price_weighted AS forecast", "true AS sufficient_history", "false AS stale_reference",
+                                 "explode(array(1, 4)) AS horizon_weeks")
+    out = J.forecast_actual_join(forecasts, panel)
+    assert out.columns == ["crop", "market_id", "target_week", "week_start", "forecast", "sufficient_history", "stale_reference", "horizon_weeks", "actual_price"]
+    # only the exchanges that the panel brings
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    rows = out.collect()
+    assert len(rows) == 20 * (19 + 16) and all(r.actual_price == r.forecast + 20 * r.horizon_weeks for r in rows)
+
+
+def test_repeated_actuals_and_missing_keys_meet_as_in_a_join(spark):
+    d = "crop string, market_id long, week_start date"
+    f = spark.createDataFrame([("a", 1, dt.date(2020, 1, 6)), (None, 1, dt.date(2020, 1, 6)), ("a", 1, None)], d).selectExpr(
+        "*", "1 AS horizon_weeks", "true AS sufficient_history", "false AS stale_reference")
+    a = spark.createDataFrame([("a", 1, dt.date(2020, 1, 13), p, 0) for p in (5.0, 5.0, 6.0, None)] + [(None, 1, dt.date(2020, 1, 13), 7.0, 0), ("a", 1, None, 8.0, 0)],
+                              f"{d}, modal_price_weighted double, imputed int")
+    assert sorted((r.crop, r.actual_price) for r in J.forecast_actual_join(f, a).collect()) == [("a", 5.0), ("a", 5.0), ("a", 6.0)]
+
+
+def test_validation_summary_writes_only_what_medians_need(spark, monkeypatch):
+    tables, plain = [], E.written
+    monkeypatch.setattr(E, "written", lambda df, *by: tables.append(plain(df, *by)) or tables[-1])
+    data = [("a", 1, 3.0, 4.0, 10.0, 2.0, 0), ("a", 1, 5.0, None, None, 4.0, 1), ("a", 2, 2.0, 1.0, 6.0, 8.0, 0)]
+    errors = spark.createDataFrame(data, "crop string, horizon_weeks int, ape_model double, ape_naive double, forecast double, actual_price double, imputed int")
+    out = {(r.horizon_weeks, r.subset): r for r in E.validation_summary(errors, ["crop", "horizon_weeks"], F.col("imputed") == 0).collect()}
+    assert len(tables) == 1 and "forecast" not in tables[0].columns and tables[0].where("__n IS NULL").count() == 3
+    r = out[1, "all"]
+    assert (r.n_rows, r.mean_ape_model, r.mean_ape_naive, r.share_model_better, r.mean_forecast, r.mean_actual, r.median_ape_model, r.median_ape_naive) == (
+        2, 4.0, 4.0, 1.0, 10.0, 3.0, 4.0, 4.0)
+    assert (out[1, "clean"].n_rows, out[2, "clean"].share_model_better, len(out)) == (1, 0.0, 4)
+    assert E.validation_summary(errors.limit(0), ["crop", "horizon_weeks"]).count() == 0
